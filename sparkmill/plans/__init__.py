@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Queries over the tables, with the SQL that they must agree with."""
