@@ -293,6 +293,6 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_set, mapped, unmatched, exact: how many values stand as they are, were mapped, or mean no entry."""
-    found = p3_found(spark, sf_dir).groupBy("record_set").agg(F.count_if("brand_id >= 0").alias("mapped"), F.count_if("brand_id < 0").alias("unmatched"))
+    found = p3_found(spark, sf_dir).groupBy("record_set").agg(F.count_if(F.col("brand_id") >= 0).alias("mapped"), F.count_if(F.col("brand_id") < 0).alias("unmatched"))
     all_ = brand_values(spark, sf_dir).groupBy("record_set").agg(F.count("*").alias("values_"))
     return all_.join(found, "record_set", "left").select("record_set", F.coalesce("mapped", F.lit(0)).alias("mapped"), F.coalesce("unmatched", F.lit(0)).alias("unmatched"), (F.col("values_") - F.coalesce("mapped", F.lit(0)) - F.coalesce("unmatched", F.lit(0))).alias("exact"))

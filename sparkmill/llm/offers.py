@@ -32,7 +32,7 @@ from sparkmill.session import cut, scratch_path, table
 
 DIMENSIONS = 128
 #: Trigrams that the slips of a name can change; with the name's own number of trigrams they give its search radius. A name nearer to a centre than CELL joins its cell.
-CHANGED, CELL = 7, 0.30
+CHANGED, CELL = 8, 0.30
 #: Members and queries that meet in one task, on average.
 BLOCK = 8_192
 #: Batches that are processed together; within a round the order of arrival decides.
@@ -125,6 +125,8 @@ def same_words(a: str, b: str) -> bool:
     """Whether two names are one but for slips: at most three edits, two in a word, words joined or parted."""
     if a == b:
         return True
+    if a.startswith("#") or b.startswith("#"):  # known by a hash or not at all
+        return False
     x, y = a.split(), b.split()
     for w in list(x):
         if w in y:

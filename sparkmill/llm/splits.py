@@ -45,7 +45,8 @@ def proper_pair_id(nodes: str = "nodes") -> Column:
 
 def with_components(df: DataFrame, nodes: str = "nodes") -> DataFrame:
     """Adds component: the smallest node that the row is linked to. A row without nodes is in no component (null)."""
-    first, last = F.element_at(nodes, 1), F.element_at(nodes, -1)
+    df = df.drop("component")
+    first, last = F.try_element_at(nodes, F.lit(1)), F.try_element_at(nodes, F.lit(-1))
     ends = df.where(F.size(nodes) > 0).select(first.alias("x"), last.alias("y"))
     extra = df.where(F.size(nodes) > 2).select(F.explode(nodes).alias("x"), first.alias("y"))
     comps = connected_components(ends.unionByName(extra), "x", "y")
