@@ -63,7 +63,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 P2_SQL = """
-with runs as (select distinct source, cast(started_at as date) d from scrape_runs where status = 'ok' and source is not null and started_at is not null),
+with runs as (select distinct source, cast(started_at at time zone 'UTC' as date) d from scrape_runs where status = 'ok' and source is not null and started_at is not null),
 rs as (select source, d, lag(d) over (partition by source order by d) pd, lead(d) over (partition by source order by d) nd from runs),
 raw1 as (select source, external_id k, collected_date d, content_hash a, price b, compare_at_price c,
   row_number() over (partition by source, external_id, collected_date order by scraped_at desc nulls last, id desc nulls last) rn

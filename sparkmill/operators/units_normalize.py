@@ -47,7 +47,7 @@ def disagreeing(df: DataFrame, stated: Column, recorded: dict[str, Column]) -> D
 
     A title without an amount (null, empty, none in it) is no case. A missing recorded value differs from a stated one.
     """
-    df = df.withColumn("_a", stated)
+    df = df.withColumn("_a", stated).drop("weight_g", "volume_ml", "bonus_g")
     df = df.where("_a.weight_g IS NOT NULL OR _a.volume_ml IS NOT NULL")
     same = F.lit(True)
     for f, c in recorded.items():
