@@ -283,12 +283,10 @@ class OfferIndex:
 def deduplicate(offers: DataFrame, index: OfferIndex, batch: str = "batch_no", per_round: int = BATCHES_PER_ROUND) -> DataFrame:
     """first_id, offer_id of every repeat, batch after batch in order of their numbers; offers of no batch come last."""
     numbers = sorted({r[0] for r in offers.select(batch).distinct().collect() if r[0] is not None})  # as many as there are batches
+    parts = [offers.where(F.col(batch).isin(numbers[at : at + per_round])) for at in range(0, len(numbers), per_round)]
+    rest = offers.where(F.col(batch).isNull())
     out = None
-    for at in range(0, len(numbers) + 1, per_round):
-        some = numbers[at : at + per_round]
-        part = offers.where(F.col(batch).isin(some)) if some else offers.where(F.col(batch).isNull())
-        if not some and not part.head(1):
-            break
+    for part in parts + ([rest] if rest.head(1) else []):
         found = index.add(part)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else offers.select(F.col("offer_id").alias("first_id"), "offer_id").limit(0)
