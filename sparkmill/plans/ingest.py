@@ -10,10 +10,10 @@ from sparkmill.streaming import twins
 
 
 def json_page_scan(s, d):
-    """The category entries written as JSON pages per source, scanned back into one row per variant."""
-    c = T(s, d, "category_listings").select("source", F.struct("id", "title", "handle", "vendor", "product_type", "variants").alias("p"))
-    body = c.groupBy("source").agg(F.to_json(F.struct(F.sort_array(F.collect_list("p")).alias("products"))).alias("body"))
-    r = pages.json_products(body, "body", "source").where("variant_id IS NOT NULL")
+    """The category entries written as JSON, a page of a shop each, scanned back into one row per variant."""
+    c = T(s, d, "category_listings").select(F.concat_ws("/", "source", "page_no").alias("page"), F.struct("id", "title", "handle", "vendor", "product_type", "variants").alias("p"))
+    body = c.groupBy("page").agg(F.to_json(F.struct(F.sort_array(F.collect_list("p")).alias("products"))).alias("body"))
+    r = pages.json_products(body, "body", "page").where("variant_id IS NOT NULL")
     return r.groupBy("url").agg(F.count("*").alias("variants"), F.count_distinct("product_id").alias("products"), F.count("price").alias("priced"))
 
 
@@ -90,7 +90,7 @@ def stream_changes(s, d):
 QUERIES = {f.__name__: f for f in (json_page_scan, first_wins_walk, pages_read, idempotent_upsert, sync_actions, append_new_titles, backfill_counts, stream_tumbling, stream_dedup, stream_changes)}
 
 SQL = {
-    "json_page_scan": "select source url, count(*) variants, count(distinct id) products, count(*) filter (try_cast(v.price as decimal(12,2)) > 0) priced from (select source, id, title, unnest(variants) v from category_listings) where title is not null and v.id is not null group by 1",
+    "json_page_scan": "select url, count(*) variants, count(distinct id) products, count(*) filter (try_cast(v.price as decimal(12,2)) > 0) priced from (select concat_ws('/', source, cast(page_no as varchar)) url, id, title, unnest(variants) v from category_listings) where title is not null and v.id is not null group by 1",
     "first_wins_walk": "select handle, page_no, id from (select handle, page_no, id, row_number() over (partition by handle order by page_no, id) k from category_listings where handle is not null) where k = 1",
     "pages_read": """with recursive c as (select source, page_no, count(*) n, count(vendor) = 0 failed, row_number() over (partition by source order by page_no) k from category_listings where source is not null and page_no is not null group by 1, 2),
         w as (select source, k, case when failed then 1 else 0 end streak, (not failed and n < 5) stop from c where k = 1 union all select c.source, c.k, case when c.failed then w.streak + 1 else 0 end, (not c.failed and c.n < 5) or (c.failed and w.streak + 1 >= 3) from w join c on c.source = w.source and c.k = w.k + 1 where not w.stop)

@@ -66,29 +66,40 @@ def semi_matched_listings(s, d):
     return T(s, d, "raw_listings").select("id", "source", "external_id").join(m, ["source", "external_id"], "left_semi")
 
 
+def _classes(s, d, attributes):
+    """Listings with a brand key and a line as classes of equal attributes, each with its least id and its number of listings: pairs are made of these, so a hot group costs its variety squared, not its rows."""
+    n = T(s, d, "norm_listings").where("brand_blocking_key <> '' AND trim(product_line) <> ''").withColumn("line", F.lower(F.trim("product_line")))
+    return n.groupBy("brand_blocking_key", "line", *attributes).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
+def _pairs(j):
+    return j.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+
+
 def quantity_differs_self_join(s, d):
-    """Pairs of listings of one brand key and line (case and blanks apart) whose quantities differ, null-safe."""
-    n = T(s, d, "norm_listings").where("brand_blocking_key <> '' AND trim(product_line) <> ''").select("id", "brand_blocking_key", F.lower(F.trim("product_line")).alias("line"), "net_weight_g", "net_volume_ml", "pack_count")
-    a, b = n.alias("a"), n.alias("b")
-    differs = ~(F.col("a.net_weight_g").eqNullSafe(F.col("b.net_weight_g")) & F.col("a.net_volume_ml").eqNullSafe(F.col("b.net_volume_ml")) & F.col("a.pack_count").eqNullSafe(F.col("b.pack_count")))
-    return a.join(b, (F.col("a.brand_blocking_key") == F.col("b.brand_blocking_key")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.id") < F.col("b.id")) & differs).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    """Pairs of classes of one brand key and line (case and blanks apart) whose quantities differ, null-safe."""
+    c = _classes(s, d, ["net_weight_g", "net_volume_ml", "pack_count"])
+    a, b = c.alias("a"), c.alias("b")
+    return _pairs(a.join(b, (F.col("a.brand_blocking_key") == F.col("b.brand_blocking_key")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.id") < F.col("b.id"))))
 
 
 def same_quantity_other_flavour(s, d):
-    n = T(s, d, "norm_listings").where("brand_blocking_key <> ''").select("id", "brand_blocking_key", "net_weight_g", "net_volume_ml", "life_stage", "flavour", F.lower(F.trim("product_line")).alias("line"))
-    a, b = n.alias("a"), n.alias("b")
+    """Pairs of classes that agree in all but the flavour."""
+    c = _classes(s, d, ["net_weight_g", "net_volume_ml", "life_stage", "flavour"])
+    a, b = c.alias("a"), c.alias("b")
     on = F.col("a.id") < F.col("b.id")
-    for c in ("brand_blocking_key", "line"):
-        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    for c in ("net_weight_g", "net_volume_ml", "life_stage"):
-        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return a.join(b, on & (F.col("a.flavour") != F.col("b.flavour"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    for k in ("brand_blocking_key", "line"):
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    for k in ("net_weight_g", "net_volume_ml", "life_stage"):
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return _pairs(a.join(b, on & (F.col("a.flavour") != F.col("b.flavour"))))
 
 
 def other_brand_same_line(s, d):
-    n = T(s, d, "norm_listings").where("brand_blocking_key <> '' AND trim(product_line) <> ''").select("id", "brand_blocking_key", F.lower(F.trim("product_line")).alias("line"))
-    a, b = n.alias("a"), n.alias("b")
-    return a.join(b, (F.col("a.line") == F.col("b.line")) & (F.col("a.brand_blocking_key") != F.col("b.brand_blocking_key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    """Pairs of brand keys that have one line."""
+    c = _classes(s, d, [])
+    a, b = c.alias("a"), c.alias("b")
+    return _pairs(a.join(b, (F.col("a.line") == F.col("b.line")) & (F.col("a.brand_blocking_key") != F.col("b.brand_blocking_key")) & (F.col("a.id") < F.col("b.id"))))
 
 
 def lookup_default(s, d):
@@ -235,11 +246,9 @@ SQL = {
     "fact_dim_inner": "select source, food_form, count(*) n from raw_listings r join norm_listings n on r.content_hash = n.content_hash group by all".replace("select source", "select r.source"),
     "new_keys_anti": "select content_hash, min(id) first_id from raw_listings r where content_hash is not null and not exists (select 1 from norm_listings n where n.content_hash = r.content_hash) group by 1",
     "semi_matched_listings": "select id, source, external_id from raw_listings r where exists (select 1 from product_matches m where m.source = r.source and m.external_id = r.external_id)",
-    "quantity_differs_self_join": """with n as (select * from norm_listings where brand_blocking_key <> '' and trim(product_line) <> '') select a.id id_a, b.id id_b from n a join n b on a.brand_blocking_key = b.brand_blocking_key and lower(trim(a.product_line)) = lower(trim(b.product_line)) and a.id < b.id
-        and (a.net_weight_g is distinct from b.net_weight_g or a.net_volume_ml is distinct from b.net_volume_ml or a.pack_count is distinct from b.pack_count)""",
-    "same_quantity_other_flavour": """select a.id id_a, b.id id_b from norm_listings a join norm_listings b on a.brand_blocking_key = b.brand_blocking_key and lower(trim(a.product_line)) = lower(trim(b.product_line)) and a.id < b.id and a.brand_blocking_key <> ''
-        and a.net_weight_g is not distinct from b.net_weight_g and a.net_volume_ml is not distinct from b.net_volume_ml and a.life_stage is not distinct from b.life_stage and a.flavour <> b.flavour""",
-    "other_brand_same_line": "with n as (select * from norm_listings where brand_blocking_key <> '' and trim(product_line) <> '') select a.id id_a, b.id id_b from n a join n b on lower(trim(a.product_line)) = lower(trim(b.product_line)) and a.brand_blocking_key <> b.brand_blocking_key and a.id < b.id",
+    "quantity_differs_self_join": """with c as (select brand_blocking_key k, lower(trim(product_line)) l, net_weight_g w, net_volume_ml v, pack_count p, min(id) id, count(*) n from norm_listings where brand_blocking_key <> '' and trim(product_line) <> '' group by all) select a.id id_a, b.id id_b, a.n n_a, b.n n_b from c a join c b on a.k = b.k and a.l = b.l and a.id < b.id and (a.w is distinct from b.w or a.v is distinct from b.v or a.p is distinct from b.p)""",
+    "same_quantity_other_flavour": """with c as (select brand_blocking_key k, lower(trim(product_line)) l, net_weight_g w, net_volume_ml v, life_stage s, flavour f, min(id) id, count(*) n from norm_listings where brand_blocking_key <> '' and trim(product_line) <> '' group by all) select a.id id_a, b.id id_b, a.n n_a, b.n n_b from c a join c b on a.k = b.k and a.l = b.l and a.id < b.id and a.w is not distinct from b.w and a.v is not distinct from b.v and a.s is not distinct from b.s and a.f <> b.f""",
+    "other_brand_same_line": """with c as (select brand_blocking_key k, lower(trim(product_line)) l, min(id) id, count(*) n from norm_listings where brand_blocking_key <> '' and trim(product_line) <> '' group by all) select a.id id_a, b.id id_b, a.n n_a, b.n n_b from c a join c b on a.l = b.l and a.k <> b.k and a.id < b.id""",
     "lookup_default": "select p.id, count(m.product_id) matches from products p left join product_matches m on m.product_id = p.id group by p.id",
     "cross_source_pairs": "with r as (select distinct content_hash, collected_date, source from raw_listings where content_hash is not null and source is not null) select a.source source_a, b.source source_b, count(distinct a.content_hash) titles from r a join r b on a.content_hash = b.content_hash and a.collected_date is not distinct from b.collected_date and a.source < b.source group by all",
     "exact_week_before": """with d as (select product_id, source, price_date, cast(competitor_price as double) price from (select *, row_number() over (partition by product_id, source, price_date order by created_at desc nulls last, id desc) k from product_matches where product_id is not null and source is not null) where k = 1)

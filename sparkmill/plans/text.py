@@ -59,10 +59,11 @@ def like_any(s, d):
 
 
 def size_rank_overlap(s, d):
-    """Listings of one brand key and line whose breed sizes overlap or not."""
-    n = T(s, d, "norm_listings").where("brand_blocking_key <> '' AND product_line IS NOT NULL AND breed_size_code IS NOT NULL").select("id", "brand_blocking_key", "product_line", C.size_rank(F.col("breed_size_code")).alias("r"))
+    """Breed sizes of one brand key, each by its least listing, that overlap or not."""
+    n = T(s, d, "norm_listings").where("brand_blocking_key <> '' AND breed_size_code IS NOT NULL")
+    n = n.groupBy("brand_blocking_key", "breed_size_code").agg(F.min("id").alias("id")).withColumn("r", C.size_rank(F.col("breed_size_code")))
     a, b = n.alias("a"), n.alias("b")
-    j = a.join(b, (F.col("a.brand_blocking_key") == F.col("b.brand_blocking_key")) & (F.col("a.product_line") == F.col("b.product_line")) & (F.col("a.id") < F.col("b.id")))
+    j = a.join(b, (F.col("a.brand_blocking_key") == F.col("b.brand_blocking_key")) & (F.col("a.id") < F.col("b.id")))
     return j.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), C.overlaps(F.col("a.r"), F.col("b.r")).alias("meet"))
 
 
@@ -92,8 +93,11 @@ def block_topk_cosine(s, d):
 def global_topk_cosine(s, d):
     """The ten vectors nearest to the vector with the least id."""
     e = T(s, d, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("u"))
-    q = e.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("qid"), F.col("u").alias("qu"))
-    return e.crossJoin(F.broadcast(q)).where("vec_id <> qid").select("vec_id", F.round(V.dot(F.col("u"), F.col("qu")), 6).alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(10)
+    q = e.orderBy("vec_id").first()  # one vector, a literal in the plan
+    if q is None or q["u"] is None:
+        return e.select("vec_id", F.lit(0.0).alias("sim")).limit(0)
+    sim = F.round(V.dot(F.col("u"), F.array(*map(F.lit, q["u"]))), 6)
+    return e.where(F.col("vec_id") != q["vec_id"]).select("vec_id", sim.alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(10)
 
 
 def _two_rankings(s, d):
@@ -148,8 +152,8 @@ SQL = {
         from (select distinct occurrence_id, left_content_hash, right_content_hash from phase3_labels where occurrence_id is not null) p join f a on a.h = left_content_hash join f b on b.h = right_content_hash""",
     "token_filter": f"select id, word from (select id, case when p like '% somon %' then 'somon' when p like '% salmon %' then 'salmon' when p like '% pui %' then 'pui' when p like '% chicken %' then 'chicken' end word from (select id, ' ' || regexp_replace({_FOLD.format('title')}, '[^a-z0-9]+', ' ', 'g') || ' ' p from raw_listings where title is not null)) where word is not null",
     "like_any": "select source, count(*) n from raw_listings where (lower(title) like '%gratuit%' or lower(title) like '%reducere%' or lower(title) like '%promo%') and lower(title) not like '%transport%' group by 1",
-    "size_rank_overlap": """with m as (select map {'XS': 0, 'S': 1, 'M': 2, 'L': 3, 'XL': 4, 'MINI': 0, 'MEDIUM': 2, 'MAXI': 3} m), n as (select id, brand_blocking_key b, product_line l, m[string_split(upper(trim(breed_size_code)), '-')[1]] x, m[string_split(upper(trim(breed_size_code)), '-')[-1]] y from norm_listings, m
-        where brand_blocking_key <> '' and product_line is not null and breed_size_code is not null) select a.id id_a, b.id id_b, least(a.x, a.y) <= greatest(b.x, b.y) and least(b.x, b.y) <= greatest(a.x, a.y) meet from n a join n b on a.b = b.b and a.l = b.l and a.id < b.id""",
+    "size_rank_overlap": """with m as (select map {'XS': 0, 'S': 1, 'M': 2, 'L': 3, 'XL': 4, 'MINI': 0, 'MEDIUM': 2, 'MAXI': 3} m), n as (select id, brand_blocking_key b, m[string_split(upper(trim(breed_size_code)), '-')[1]] x, m[string_split(upper(trim(breed_size_code)), '-')[-1]] y from (select brand_blocking_key, breed_size_code, min(id) id from norm_listings group by 1, 2), m
+        where brand_blocking_key <> '' and breed_size_code is not null) select a.id id_a, b.id id_b, least(a.x, a.y) <= greatest(b.x, b.y) and least(b.x, b.y) <= greatest(a.x, a.y) meet from n a join n b on a.b = b.b and a.id < b.id""",
     "json_payload_fields": "select source, count(*) payloads, count(json_extract_string(raw_payload, '$.price')) priced from raw_listings where raw_payload is not null group by 1",
     "lexical_rank": f"""with q as (select id q, list_filter({_WORDS.format('title')}, lambda w: length(w) > 6)[1:2] ws from products), n as (select id i, {_WORDS.format('sample_title')} t from norm_listings), inv as (select i, t, unnest(t) w from n),
         h as (select q, i, round(2.0 / len(t), 6) score from q join inv on inv.w = q.ws[1] where len(ws) = 2 and list_contains(t, ws[2])) select q, i, cast(score as double) score, pos from (select *, row_number() over (partition by q order by score desc, i) pos from h) where pos <= 5""",
