@@ -226,9 +226,10 @@ class OfferIndex:
 
         Empty batches, repeated rows, null titles, descriptions and hashes are allowed; other columns are ignored.
         """
-        offers = cut(read_offers(batch))
         attrs = ["name", "age", "ing", "w", "v", "n", "b", "bag"]
-        kinds = cut(offers.groupBy(*attrs).agg(F.min("offer_id").alias("offer_id"), F.collect_set("offer_id").alias("copies")))
+        parts = [x for c in attrs for x in (F.col(c).isNull(), F.col(c))]
+        offers = cut(read_offers(batch).withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(2), *parts)}))
+        kinds = cut(offers.groupBy("k1", "k2", *attrs).agg(F.min("offer_id").alias("offer_id")))
         new_names = cut(kinds.select("name").distinct().join(self.names().select("name"), "name", "left_anti"))
         known = self.known_names
         fresh = new_names.count()
@@ -249,8 +250,8 @@ class OfferIndex:
         old = mine.join(new_names, "name", "left_anti")
         earlier = self._read("links", "q string, name string").join(old.select(F.col("name").alias("q")), "q", "left_semi") if self.rounds else self.spark.createDataFrame([], "q string, name string")
         sim = cut(links.unionByName(earlier).unionByName(mine.select(F.col("name").alias("q"), "name")).distinct())
-        x = kinds.drop("copies").select(*[F.col(c).alias(f"x_{c}") for c in ["offer_id", *attrs]])
-        y = self.kinds().unionByName(kinds.drop("copies"))
+        x = kinds.select(*[F.col(c).alias(f"x_{c}") for c in ["offer_id", *attrs]])
+        y = self.kinds().unionByName(kinds.select("offer_id", *attrs))
         pairs = x.join(sim, F.col("x_name") == F.col("q")).join(y, "name").where(F.col("offer_id") < F.col("x_offer_id"))
         agree = lambda c: F.col(c).isNull() | F.col(f"x_{c}").isNull() | (F.col(c) == F.col(f"x_{c}"))
         stated = lambda p: F.col(f"{p}w").isNotNull() | F.col(f"{p}v").isNotNull()
@@ -277,7 +278,7 @@ class OfferIndex:
         links.write.mode("overwrite").parquet(f"{self.path}/links/{r}")
         self.rounds += 1
         self.known_names += fresh
-        return cut(settled.select("first_id", F.explode("copies").alias("offer_id")).where("first_id < offer_id"))
+        return cut(offers.select("k1", "k2", "offer_id").join(settled.select("k1", "k2", "first_id"), ["k1", "k2"]).where("first_id < offer_id").select("first_id", "offer_id").distinct())
 
 
 def deduplicate(offers: DataFrame, index: OfferIndex, batch: str = "batch_no", per_round: int = BATCHES_PER_ROUND) -> DataFrame:
