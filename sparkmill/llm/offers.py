@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from sparkmill.functions import titles
 from sparkmill.functions.quantity import Amount, fold, read_amount
 from sparkmill.functions.titles import read_title
-from sparkmill.llm.brands import with_swaps
+from sparkmill.llm.brands import levenshtein, with_swaps
 from sparkmill.session import cut, scratch_path, table
 
 DIMENSIONS = 128
@@ -105,6 +106,7 @@ def read_offer(title: str | None, description: str | None) -> tuple[str, str | N
     return " ".join(sorted(words)), age, ing, a, " ".join(sorted(re.findall(r"[a-z0-9.,']+", s)))
 
 
+@lru_cache(maxsize=4 * BLOCK)
 def vector(name: str) -> np.ndarray:
     v = np.zeros(DIMENSIONS, np.float32)
     for w in name.split():
@@ -135,14 +137,18 @@ def same_words(a: str, b: str) -> bool:
     if not x or not y:
         return len(x + y) == 1 and len((x + y)[0]) <= 5  # a word of the trade that a slip has made a name
     if len(x) == len(y) <= 4:
-        far = [[with_swaps(u, w) if abs(len(u) - len(w)) <= 2 and (set(u) & set(w)) else 9 for w in y] for u in x]
-        if any(min(row) > 2 for row in far) and len(x) > 1:
-            return False
+        far = []
+        for u in x:
+            # a swap is two of the metric's edits, so more than four of these are more than two slips
+            far.append([with_swaps(u, w) if abs(len(u) - len(w)) <= 2 and levenshtein(u, w) <= 4 else 9 for w in y])
+            if len(x) > 1 and min(far[-1]) > 2:
+                return False
         for p in itertools.permutations(range(len(y))):
             e = [far[i][j] for i, j in enumerate(p)]
             if sum(e) <= 3 and all(k <= min(2, max(1, len(u) // 3)) for k, u in zip(e, x)):
                 return True
-    if len(x) <= 3 and len(y) <= 3:
+    p, q = "".join(x), "".join(y)
+    if len(x) <= 3 and len(y) <= 3 and abs(len(p) - len(q)) <= 2 and sum((Counter(p) - Counter(q)).values()) <= 2:
         return any(with_swaps("".join(p), "".join(q)) <= 2 for p in itertools.permutations(x) for q in itertools.permutations(y)) and len("".join(x)) > 5
     return False
 
