@@ -195,14 +195,19 @@ def _probe(queries: DataFrame, members: DataFrame, blocks: int, slices: int) ->
             from_centre = np.sqrt(np.maximum(0, 2 - 2 * (y * y[np.repeat(centre, size)]).sum(1)))
             spread = np.maximum.reduceat(from_centre, first)
             reach = np.array([radius(n) for n in a["q"]], np.float32)
+            centres, wide = np.ascontiguousarray(y[centre].T), np.flatnonzero(spread > 0)
             for at in range(0, len(x), 1024):
-                d = np.sqrt(np.maximum(0, 2 - 2 * x[at : at + 1024] @ y[centre].T))
-                for i, c in zip(*np.nonzero(d <= reach[at : at + 1024, None] + spread)):  # cells that can hold a match
+                dots, r = x[at : at + 1024] @ centres, reach[at : at + 1024]
+                # distances of unit vectors: d <= r where the product is at least 1 - r^2 / 2; a cell's spread widens r
+                can = dots >= (1 - r * r / 2 - 1e-6)[:, None]
+                if len(wide):
+                    can[:, wide] = np.sqrt(np.maximum(0, 2 - 2 * dots[:, wide])) <= r[:, None] + spread[wide]
+                for i, c in zip(*np.nonzero(can)):  # cells that can hold a match
                     f, n = first[c], size[c]
-                    near = (np.sqrt(np.maximum(0, 2 - 2 * y[f : f + n] @ x[at + i])) if n > 1 else d[i, c : c + 1]) <= reach[at + i]
-                    for j in np.flatnonzero(near):
+                    near = np.flatnonzero(y[f : f + n] @ x[at + i] >= 1 - r[i] * r[i] / 2 - 1e-6) if n > 1 else (0,)
+                    for j in near:
                         if same_words(qs[at + i], names[f + j]):
-                            out.append((qs[at + i], names[f + j], cells[f], float(d[i, c])))
+                            out.append((qs[at + i], names[f + j], cells[f], float(np.sqrt(max(0.0, 2 - 2 * float(dots[i, c]))))))
         return pd.DataFrame(out, columns=["q", "name", "cell", "to_centre"])
 
     return q.groupBy("k", "s").cogroup(m.groupBy("k", "s")).applyInPandas(meet, "q string, name string, cell string, to_centre double")
