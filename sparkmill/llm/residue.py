@@ -3,8 +3,8 @@
 A text is reduced to what a person would have written: code, quotes, navigation
 and page frames off. What is left is read line by line. A document is trusted residue if every line after at most a
 heading is a notice, an error, filler or an unfilled template, or if its prose has unfilled places. The labels then spread: bodies
-of documents that are near-duplicates (partitioned SimHash tables, verified by Hamming distance
-and by the similarity of their word shingles) form connected components, and a component takes the label of its trusted members.
+of documents that are near-duplicates (five-word shingles of similarity 0.8, found without loss over the rarest
+shingles of each body) form connected components, and a component takes the label of its trusted members.
 
 Bodies are compared once each however many documents share them, so hot groups of copies cost nothing.
 """
@@ -26,8 +26,8 @@ from sparkmill.session import cut, table
 
 #: Characters of a body beyond which a document is content of its own, to which no label spreads.
 LONGEST_BODY = 600
-#: SimHash tables: of four, pairs within three bits share one. Words in a shingle and the least similarity.
-TABLES, HAMMING, SHINGLE, SIMILARITY = 4, 3, 5, 0.8
+#: Words in a shingle; the least similarity of near-duplicates as a fraction, so that it is compared in whole numbers.
+SHINGLE, SIMILAR, OF = 5, 4, 5
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|<pre>.*?(?:</pre>|\Z)|<code>.*?(?:</code>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"`[^`\n]*`")
@@ -201,7 +201,7 @@ def _asks(lines: list[str]) -> bool:
 
 
 def simhash(words: list[str]) -> int:
-    """64 bits, each the sign of the sum over the words and their pairs."""
+    """64 bits, each the sign of the sum over the words and their pairs. A fingerprint only: bodies of similarity 0.8 lie too many bits apart for it to find candidates."""
     sums = [0] * 64
     for f in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
         h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
@@ -216,40 +216,46 @@ def shingles(body: str) -> set[str]:
 
 
 def read_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, whole, open, body, and the body's bands of SimHash."""
-    schema = "doc_id bigint, whole boolean, open boolean, body string, hash bigint"
+    """doc_id, whole, open, body."""
+    schema = "doc_id bigint, whole boolean, open boolean, body string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            rows = []
-            for i, t in zip(d["doc_id"], d["text"]):
-                whole, open_, body = trusted(t if isinstance(t, str) else None)
-                h = simhash(body.split()) if body else None
-                rows.append((i, whole, open_, body, None if h is None else h - (1 << 64) if h >> 63 else h))
-            yield pd.DataFrame(rows, columns=["doc_id", "whole", "open", "body", "hash"], dtype="object").astype({"doc_id": "int64", "whole": "bool", "open": "bool", "hash": "Int64"})
+            rows = [(i, *trusted(t if isinstance(t, str) else None)) for i, t in zip(d["doc_id"], d["text"])]
+            yield pd.DataFrame(rows, columns=["doc_id", "whole", "open", "body"], dtype="object").astype({"doc_id": "int64", "whole": "bool", "open": "bool"})
 
     n = docs.sparkSession.sparkContext.defaultParallelism
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").repartition(4 * n, "doc_id").mapInPandas(run, schema)
 
 
-def near_bodies(bodies: DataFrame) -> DataFrame:
-    """a, b: verified near-duplicates among different bodies (body, hash). Pairs within HAMMING bits share one of TABLES bands."""
-    bits = 64 // TABLES
-    bands = F.array(*[F.concat(F.lit(f"{k}-"), F.shiftrightunsigned("hash", k * bits).bitwiseAND((1 << bits) - 1).cast("string")) for k in range(TABLES)])
-    keyed = bodies.select("body", "hash", F.explode(bands).alias("band"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    close = F.bit_count(F.col("x.hash").bitwiseXOR(F.col("y.hash"))) <= HAMMING
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.body") < F.col("y.body")) & close).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
+def near_bodies(bodies: DataFrame, key: str = "body") -> DataFrame:
+    """a, b: the keys a < b of all pairs of different bodies (key, body) whose shingles have a Jaccard similarity of at least SIMILAR / OF.
 
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(a, b):
-            s, t = shingles(p), shingles(q)
-            out.append(len(s & t) / len(s | t))
-        return pd.Series(out, dtype="float64")
-
-    return pairs.where(jaccard("a", "b") >= SIMILARITY)
+    With the shingles of all bodies in one order, the rarest first, two such bodies of m and n shingles share
+    one of their first m - ceil(0.8 m) + 1 and n - ceil(0.8 n) + 1; so no pair is missed, and common shingles hardly ever meet.
+    Shingles are known by 64-bit hashes.
+    """
+    words = F.split("body", " ")
+    last = F.greatest(F.size("ws") - SHINGLE + 1, F.lit(1))
+    sets = bodies.select(F.col(key).alias("key"), words.alias("ws"))
+    sets = sets.select("key", F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, SHINGLE), " ")))).alias("set"))
+    sets = cut(sets.withColumn("n", F.size("set")))
+    each = sets.select("key", "n", F.explode("set").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one body come first in the order and meet none: only their number counts
+    ordered = each.join(shared, "s").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    first = F.floor(F.col("n") * (OF - SIMILAR) / OF).cast("int") + 1
+    alone = F.col("n") - F.size("o")
+    heads = ordered.select("key", "n", alone.alias("alone"), F.slice("o", F.lit(1), F.greatest(first - alone, F.lit(0))).alias("o"))
+    heads = heads.select("key", "n", "alone", F.posexplode("o").alias("at", "e")).select("key", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("e.s").alias("s"))
+    x, y = heads.alias("x"), heads.alias("y")
+    # at most this many are shared: as many before as the one that has fewer, and as many from here on
+    most = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    can = (OF + SIMILAR) * most >= SIMILAR * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.key") < F.col("y.key")) & can).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("p")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("q")), "b")
+    both = F.size(F.array_intersect("p", "q"))
+    return pairs.where((OF + SIMILAR) * both >= SIMILAR * (F.size("p") + F.size("q"))).select("a", "b")
 
 
 def residue(docs: DataFrame) -> DataFrame:
@@ -257,14 +263,14 @@ def residue(docs: DataFrame) -> DataFrame:
 
     Empty, blank and null texts are none. Other columns are ignored; repeated ids give one row each reason.
     """
-    read = cut(read_documents(docs))
-    bodies = read.where("body <> ''").groupBy("body", "hash").agg(F.max("whole").alias("whole"), F.max("open").alias("open"))
-    bodies = cut(bodies)
-    pairs = cut(near_bodies(bodies.select("body", "hash")))
-    comps = connected_components(pairs, "a", "b")
-    marked = comps.join(bodies.where("whole").select(F.col("body").alias("node")), "node").select("component").distinct()
-    near = comps.join(marked, "component", "left_semi").select(F.col("node").alias("body")).withColumn("near", F.lit(True))
-    return read.join(near, "body", "left").select("doc_id", F.when(F.col("whole"), "trusted").when(F.col("open"), "unfilled").when(F.col("near"), "near").alias("reason")).where("reason IS NOT NULL")
+    read = cut(read_documents(docs).withColumn("key", F.when(F.col("body") != "", F.md5("body"))))
+    bodies = cut(read.where("key IS NOT NULL").groupBy("key").agg(F.max("whole").alias("whole"), F.first("body").alias("body")))
+    pairs = cut(near_bodies(bodies.select("key", "body"), "key"))
+    seeds = bodies.where("whole").select("key")
+    comps = cut(connected_components(pairs, "a", "b"))
+    marked = comps.join(seeds.select(F.col("key").alias("node")), "node").select("component").distinct()
+    near = comps.join(marked, "component", "left_semi").select(F.col("node").alias("key")).unionByName(seeds).distinct().withColumn("near", F.lit(True))
+    return read.join(near, "key", "left").select("doc_id", F.when(F.col("whole"), "trusted").when(F.col("open"), "unfilled").when(F.col("near"), "near").alias("reason")).where("reason IS NOT NULL")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from sparkmill.llm.residue import near_bodies, residue, simhash, trusted
+from sparkmill.llm.residue import near_bodies, residue, shingles, simhash, trusted
 
 BAD = [
     "404 Not Found\nnginx/1.27.5", "Please enable JavaScript in your browser to continue.", "About Contact Home\nThis forum works best with JavaScript enabled. Loading…", "How do I store a bag?\n\nLorem ipsum dolor sit amet, Hipuk tol fitum brekart kar.",
@@ -40,3 +42,31 @@ def test_near_bodies(spark):
     got = [(r["a"], r["b"]) for r in near_bodies(spark.createDataFrame(h, "body string, hash bigint")).collect()]
     assert got in ([(a, a + " tail")], [])  # within three bits, or too far for the tables
     assert near_bodies(spark.createDataFrame([], "body string, hash bigint")).count() == 0
+
+
+def test_near_bodies_finds_what_brute_force_finds(spark):
+    rng = random.Random(3)
+    bodies = set()
+    for n in (1, 4, 5, 12, 50, 60, 100, 400):
+        for _ in range(6):
+            w = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(n)]
+            bodies.add(" ".join(w))
+            for k in range(5):
+                v = list(w)
+                for _ in range(k % 3 + 1):
+                    v[rng.randrange(n)] = "changed" + str(rng.randrange(5))
+                bodies.update([" ".join(v), " ".join(w + ["more"] * (n * k // 20))])
+    bodies = sorted(bodies)
+    sets = [shingles(b) for b in bodies]
+    want = {(a, b) for i, a in enumerate(bodies) for j, b in enumerate(bodies) if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    got = {(r["a"], r["b"]) for r in near_bodies(spark.createDataFrame([(b, 0) for b in bodies], "body string, hash bigint")).collect()}
+    assert got == want and len(want) > 50
+
+
+def test_labels_spread_over_components(spark):
+    known = "404 Not Found " + " ".join(f"filler{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(46))
+    first = known + "\nYou can go back to the start"  # a line of unknown words
+    second = first + " and then read it again"
+    df = spark.createDataFrame([(1, known), (2, first), (3, second), (4, "You can go back to the start"), (5, known)], "doc_id bigint, text string")
+    assert not any(trusted(first)[:2]) and not any(trusted(second)[:2])
+    assert {(r["doc_id"], r["reason"]) for r in residue(df).collect()} == {(1, "trusted"), (5, "trusted"), (2, "near"), (3, "near")}
