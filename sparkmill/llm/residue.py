@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from sparkmill.operators.graph import connected_components
 from sparkmill.session import cut, table
 
-#: Characters of a body beyond which a document is content of its own, to which no label spreads.
-LONGEST_BODY = 600
 #: Words in a shingle; the least similarity of near-duplicates as a fraction, so that it is compared in whole numbers.
 SHINGLE, SIMILAR, OF = 5, 4, 5
 
@@ -169,7 +167,7 @@ def _nonce(line: str) -> bool:
 
 
 def trusted(text: str | None) -> tuple[bool, bool, str]:
-    """Whether a text is residue as a whole, whether its prose has unfilled places, and its body for comparison ("" where it has code or much prose)."""
+    """Whether a text is residue as a whole, whether its prose has unfilled places, and its whole body for comparison, code taken off ("" where it has no words)."""
     if not text or not text.strip():
         return False, False, ""
     lines = lines_of(text)
@@ -179,8 +177,6 @@ def trusted(text: str | None) -> tuple[bool, bool, str]:
     open_ = any(unfilled(x) for x in lines) and not (any(_ABOUT.search(x) for x in lines) and _asks(lines))
     head = len(lines) > 1 and not (notice(lines[0]) or filler(lines[0]) or unfilled(lines[0]))
     body = " ".join(lines[1:] if head and whole else lines)
-    if len(body) > LONGEST_BODY or _FENCE.search(text):
-        return whole, open_, ""
     return whole, open_, " ".join(re.findall(r"[^\W\d_]+", fold(_PLACE.sub(" placeholder ", body))))
 
 

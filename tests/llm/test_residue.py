@@ -70,3 +70,12 @@ def test_labels_spread_over_components(spark):
     df = spark.createDataFrame([(1, known), (2, first), (3, second), (4, "You can go back to the start"), (5, known)], "doc_id bigint, text string")
     assert not any(trusted(first)[:2]) and not any(trusted(second)[:2])
     assert {(r["doc_id"], r["reason"]) for r in residue(df).collect()} == {(1, "trusted"), (5, "trusted"), (2, "near"), (3, "near")}
+
+
+def test_long_bodies_and_code_spread_labels(spark):
+    known = "404 Not Found " + " ".join(f"filler{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400))
+    code = "Access denied. You need more rights than you have now to see this board at all <pre>trace 1</pre>"
+    rows = [(1, known), (2, known + "\nYou can go back to the start"), (3, code), (4, code + "\nGo back"), (5, "Use a window.\n<pre>trace 1</pre>")]
+    assert len(known) > 2_000 and not any(trusted(rows[1][1])[:2]) and not any(trusted(rows[3][1])[:2])
+    got = {(r["doc_id"], r["reason"]) for r in residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, "trusted"), (2, "near"), (3, "trusted"), (4, "near")}
