@@ -1,9 +1,10 @@
 """New batches against everything accepted (problem 6), by a persisted inverted file of vector cells.
 
 An offer's name (the words of its title that are no attribute, amount or
-advertisement) is a vector of signed, hashed character trigrams. The index holds the names in cells: a centre, its members
+advertisement) is a vector of bits: its letters with their counts, and its hashed character trigrams. An edit changes only so
+many of either, however they collide, so the distances of names that same_words accepts are bounded. The index holds the names in cells: a centre, its members
 with full vectors, its radius. A query's distance to a cell's members is at least its distance to the
-centre less the radius, so cells beyond the search radius are left out, and no nearer match is missed. Members found
+centre less the radius, so cells beyond the search radius are left out, and no match is missed. Members found
 are compared exactly: the words may differ by typing slips only, and age group, ingredient, content,
 units and bonus must agree. What is new is appended to the cells; history is never processed again.
 
@@ -31,9 +32,11 @@ from sparkmill.functions.titles import read_title
 from sparkmill.llm.brands import levenshtein, with_swaps
 from sparkmill.session import cut, scratch_path, table
 
-DIMENSIONS = 128
-#: Trigrams that the slips of a name can change; with the name's own number of trigrams they give its search radius. A name nearer to a centre than CELL joins its cell.
-CHANGED, CELL = 8, 0.30
+#: Bits of a vector: letters (26 and two for all else) by counts up to COUNTS, then trigrams.
+LETTERS, COUNTS, DIMENSIONS = 28, 4, 256
+#: Most bits in which names differ that same_words accepts. Letters: a substitution changes two, and there are three edits; a word of five stands alone.
+#: Trigrams: a swap changes four on either side; of words joined or parted two edits, and two on either side of four borders. A name whose trigrams differ from a centre's in at most CELL bits joins its cell.
+LETTERS_APART, TRIGRAMS_APART, CELL = 3 * 2, 2 * 8 + 4 * 4, 6
 #: Members and queries that meet in one task, on average.
 BLOCK = 8_192
 #: Batches that are processed together; within a round the order of arrival decides.
@@ -108,19 +111,26 @@ def read_offer(title: str | None, description: str | None) -> tuple[str, str | N
 
 @lru_cache(maxsize=4 * BLOCK)
 def vector(name: str) -> np.ndarray:
-    v = np.zeros(DIMENSIONS, np.float32)
+    v = np.zeros(LETTERS * COUNTS + DIMENSIONS, np.float32)
+    for c, n in Counter(name.replace(" ", "")).items():
+        at = COUNTS * (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 2)
+        have = int(v[at : at + COUNTS].sum())
+        v[at + have : at + min(COUNTS, have + n)] = 1
     for w in name.split():
         w = f" {w} "
         for i in range(len(w) - 2):
-            h = zlib.crc32(w[i : i + 3].encode())
-            v[h % DIMENSIONS] += 1 if h & 0x10000 else -1
-    n = float(np.sqrt((v * v).sum()))
-    return v / n if n else v
+            v[LETTERS * COUNTS + zlib.crc32(w[i : i + 3].encode()) % DIMENSIONS] = 1
+    return v
 
 
 def radius(name: str) -> float:
-    """Vectors of n trigrams of which k differ are sqrt(2 k / n) apart; a little is added for hash collisions."""
-    return min(1.0, float(np.sqrt(2 * CHANGED / max(1, sum(map(len, name.split()))))) + 0.03)
+    """The greatest distance of vectors of names that same_words accepts, whatever the name: the root of the bits in which they differ."""
+    return float(np.sqrt(LETTERS_APART + TRIGRAMS_APART))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which every row of x differs from every column of y."""
+    return x.sum(1)[:, None] + y.sum(0)[None, :] - 2 * (x @ y)
 
 
 def same_words(a: str, b: str) -> bool:
@@ -178,7 +188,7 @@ def read_offers(batch: DataFrame) -> DataFrame:
 
 
 def _probe(queries: DataFrame, members: DataFrame, blocks: int, slices: int) -> DataFrame:
-    """q, name, cell, to_centre of every pair within the query's radius whose words agree. members: name, cell, vec; a cell's centre is the member whose name is the cell's."""
+    """q, name, cell, to_centre of every pair within the query's radius whose words agree. members: name, cell, vec (packed bits); a cell's centre is the member whose name is the cell's."""
     q = queries.select(F.col("name").alias("q"), F.pmod(F.xxhash64("name"), F.lit(slices)).alias("s")).select("q", "s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
     m = members.select("name", "cell", "vec", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int").alias("k")).select("*", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("s"))
 
@@ -187,27 +197,27 @@ def _probe(queries: DataFrame, members: DataFrame, blocks: int, slices: int) ->
         if len(a) and len(b):
             b = b.sort_values(["cell", "name"], ignore_index=True)
             x = np.stack([vector(n) for n in a["q"]])
-            y = np.stack([np.asarray(v, np.float32) for v in b["vec"]])
+            y = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in b["vec"]]), axis=1).astype(np.float32)
             names, cells, qs = b["name"].to_numpy(), b["cell"].to_numpy(), a["q"].to_numpy()
             first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
             size = np.diff(np.r_[first, len(b)])
             centre = np.array([f + int(np.argmax(names[f : f + n] == cells[f])) for f, n in zip(first, size)])
-            from_centre = np.sqrt(np.maximum(0, 2 - 2 * (y * y[np.repeat(centre, size)]).sum(1)))
-            spread = np.maximum.reduceat(from_centre, first)
-            reach = np.array([radius(n) for n in a["q"]], np.float32)
-            centres, wide = np.ascontiguousarray(y[centre].T), np.flatnonzero(spread > 0)
+            parts = [(slice(0, LETTERS * COUNTS), LETTERS_APART), (slice(LETTERS * COUNTS, None), TRIGRAMS_APART)]
+            from_centre = np.abs(y - y[np.repeat(centre, size)])
+            centres = np.ascontiguousarray(y[centre].T)
+            # a cell's spread widens the radius
+            reach = [most + np.maximum.reduceat(from_centre[:, p].sum(1), first) for p, most in parts]
             for at in range(0, len(x), 1024):
-                dots, r = x[at : at + 1024] @ centres, reach[at : at + 1024]
-                # distances of unit vectors: d <= r where the product is at least 1 - r^2 / 2; a cell's spread widens r
-                can = dots >= (1 - r * r / 2 - 1e-6)[:, None]
-                if len(wide):
-                    can[:, wide] = np.sqrt(np.maximum(0, 2 - 2 * dots[:, wide])) <= r[:, None] + spread[wide]
-                for i, c in zip(*np.nonzero(can)):  # cells that can hold a match
+                letters, trigrams = (_apart(x[at : at + 1024, p], centres[p]) for p, _ in parts)
+                for i, c in zip(*np.nonzero((letters <= reach[0]) & (trigrams <= reach[1]))):  # cells that can hold a match
                     f, n = first[c], size[c]
-                    near = np.flatnonzero(y[f : f + n] @ x[at + i] >= 1 - r[i] * r[i] / 2 - 1e-6) if n > 1 else (0,)
+                    near = (0,)
+                    if n > 1:
+                        d = np.abs(y[f : f + n] - x[at + i])
+                        near = np.flatnonzero(np.logical_and(*(d[:, p].sum(1) <= most for p, most in parts)))
                     for j in near:
                         if same_words(qs[at + i], names[f + j]):
-                            out.append((qs[at + i], names[f + j], cells[f], float(np.sqrt(max(0.0, 2 - 2 * float(dots[i, c]))))))
+                            out.append((qs[at + i], names[f + j], cells[f], float(trigrams[i, c])))
         return pd.DataFrame(out, columns=["q", "name", "cell", "to_centre"])
 
     return q.groupBy("k", "s").cogroup(m.groupBy("k", "s")).applyInPandas(meet, "q string, name string, cell string, to_centre double")
@@ -227,7 +237,7 @@ class OfferIndex:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{what}/{r}" for r in range(self.rounds)])
 
     def names(self) -> DataFrame:
-        return self._read("names", "name string, cell string, vec array<float>")
+        return self._read("names", "name string, cell string, vec binary")
 
     def kinds(self) -> DataFrame:
         return self._read("kinds", _OFFER)
@@ -244,7 +254,7 @@ class OfferIndex:
         new_names = cut(kinds.select("name").distinct().join(self.names().select("name"), "name", "left_anti"))
         known = self.known_names
         fresh = new_names.count()
-        vec = F.pandas_udf(lambda s: s.map(lambda n: vector(n).tolist()), "array<float>")
+        vec = F.pandas_udf(lambda s: s.map(lambda n: np.packbits(vector(n).astype(bool)).tobytes()), "binary")
         own = cut(new_names.select("name", F.col("name").alias("cell"), vec("name").alias("vec")))
         size = lambda n: max(1, -(-n // BLOCK))
         near = _probe(own, own, size(fresh), size(fresh))

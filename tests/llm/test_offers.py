@@ -1,6 +1,6 @@
 import numpy as np
 
-from sparkmill.llm.offers import OfferIndex, deduplicate, radius, read_offer, same_words, vector
+from sparkmill.llm.offers import OfferIndex, _probe, deduplicate, radius, read_offer, same_words, vector
 
 SCHEMA = "offer_id int, batch_no int, title string, description string, content_hash string, name string"
 T = "Conserva pt. pisici Vohind Ginund Stekutam Jestos Adult bogat in curcan 156 grame"
@@ -47,3 +47,27 @@ def test_reading():
     name, age, ing, a, _ = read_offer(T.replace("curcan", "crucan"), D)
     assert (age, ing, a.weight_g) == ("adult", "turkey", 156) and "stekutam" in name
     assert read_offer(None, None)[0] == ""
+
+
+def test_probe_finds_what_brute_force_finds(spark):
+    rng = np.random.default_rng(2)
+    names = {"gold", "gold pezis", "pezis", "ab", "abcdefghijk", "abcdef ghijk", "abcd efghijk", "", "vohind x9"}
+    for base in ["ginund jestos stekutam vohind", "bavlinos fudrus vubram", "clutik guces", "vohindaru", "hono ruvlix zetra"]:
+        for _ in range(40):
+            words = base.split()
+            for _ in range(int(rng.integers(1, 4))):  # slips in up to three words
+                k = int(rng.integers(len(words)))
+                w, i = words[k], int(rng.integers(len(words[k]) - 1))
+                words[k] = [w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "q" + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + "z" + w[i:]][int(rng.integers(4))]
+            if rng.random() < 0.2 and len(words) > 1:
+                words[:2] = ["".join(words[:2])]
+            names.add(" ".join(sorted(words)))
+    names = sorted(names)
+    want = {(a, b) for a in names for b in names if same_words(a, b)}
+    q = spark.createDataFrame([(n,) for n in names], "name string")
+    # a third of the names as members of another's cell
+    cell = {n: names[max(0, k - 1)] if k % 3 == 2 else n for k, n in enumerate(names)}
+    m = spark.createDataFrame([(n, cell[n], bytearray(np.packbits(vector(n).astype(bool)).tobytes())) for n in names], "name string, cell string, vec binary")
+    got = {(r["q"], r["name"]) for r in _probe(q, m, 1, 1).collect()}
+    assert got == want and len(want) > 500
+    assert all(np.linalg.norm(vector(a) - vector(b)) <= radius(a) for a, b in want)
