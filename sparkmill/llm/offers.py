@@ -6,7 +6,8 @@ many of either, however they collide, so the distances of names that same_words
 with full vectors, its radius. A query's distance to a cell's members is at least its distance to the
 centre less the radius, so cells beyond the search radius are left out, and no match is missed. Members found
 are compared exactly: the words may differ by typing slips only, and age group, ingredient, content,
-units and bonus must agree. What is new is appended to the cells; history is never processed again.
+units and bonus must agree. What is new is appended to the cells; history is never processed again. Every kind is kept with
+the first of its chain, also a repeat, so that the rows don't depend on which batches are processed together.
 
 Names and offers are reduced to different ones first, so that a hot group of
 copies costs no more than its variants. Queries and cells meet in blocks of bounded size.
@@ -164,6 +165,7 @@ def same_words(a: str, b: str) -> bool:
 
 
 _OFFER = "offer_id int, name string, age string, ing string, w int, v int, n int, b int, bag string"
+_KIND = _OFFER + ", k1 bigint, k2 bigint, first_id int"
 
 
 def read_offers(batch: DataFrame) -> DataFrame:
@@ -224,7 +226,7 @@ def _probe(queries: DataFrame, members: DataFrame, blocks: int, slices: int) ->
 
 
 class OfferIndex:
-    """The accepted offers, persisted under a folder that all executors share: names in vector cells, and the first offer of every kind."""
+    """The accepted offers, persisted under a folder that all executors share: names in vector cells, and every kind (offers that are read alike) with its earliest offer and the first_id it was resolved to."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or scratch_path(spark, "offers")
@@ -240,17 +242,19 @@ class OfferIndex:
         return self._read("names", "name string, cell string, vec binary")
 
     def kinds(self) -> DataFrame:
-        return self._read("kinds", _OFFER)
+        return self._read("kinds", _KIND)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """first_id, offer_id of every offer of the batch that repeats one accepted before or with a smaller id in the batch; then appends what is new.
 
-        Empty batches, repeated rows, null titles, descriptions and hashes are allowed; other columns are ignored.
+        offer_id rises with arrival. Empty batches, repeated rows, null titles, descriptions and hashes are allowed; other columns are ignored.
         """
         attrs = ["name", "age", "ing", "w", "v", "n", "b", "bag"]
         parts = [x for c in attrs for x in (F.col(c).isNull(), F.col(c))]
         offers = cut(read_offers(batch).withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(2), *parts)}))
-        kinds = cut(offers.groupBy("k1", "k2", *attrs).agg(F.min("offer_id").alias("offer_id")))
+        known_kinds = self.kinds()
+        # a kind that came before is resolved already
+        kinds = cut(offers.groupBy("k1", "k2", *attrs).agg(F.min("offer_id").alias("offer_id")).join(known_kinds.select("k1", "k2"), ["k1", "k2"], "left_anti"))
         new_names = cut(kinds.select("name").distinct().join(self.names().select("name"), "name", "left_anti"))
         known = self.known_names
         fresh = new_names.count()
@@ -272,7 +276,7 @@ class OfferIndex:
         earlier = self._read("links", "q string, name string").join(old.select(F.col("name").alias("q")), "q", "left_semi") if self.rounds else self.spark.createDataFrame([], "q string, name string")
         sim = cut(links.unionByName(earlier).unionByName(mine.select(F.col("name").alias("q"), "name")).distinct())
         x = kinds.select(*[F.col(c).alias(f"x_{c}") for c in ["offer_id", *attrs]])
-        y = self.kinds().unionByName(kinds.select("offer_id", *attrs))
+        y = known_kinds.select("offer_id", *attrs, "first_id").unionByName(kinds.select("offer_id", *attrs, F.col("offer_id").alias("first_id")))
         pairs = x.join(sim, F.col("x_name") == F.col("q")).join(y, "name").where(F.col("offer_id") < F.col("x_offer_id"))
         agree = lambda c: F.col(c).isNull() | F.col(f"x_{c}").isNull() | (F.col(c) == F.col(f"x_{c}"))
         stated = lambda p: F.col(f"{p}w").isNotNull() | F.col(f"{p}v").isNotNull()
@@ -284,7 +288,7 @@ class OfferIndex:
         open_ = ~(stated("") & stated("x_")) & agree("n") & agree("b") & (alike >= 0.7)
         match = pairs.where((F.col("bag") == F.col("x_bag")) | (agree("age") & agree("ing") & (exact | open_)))
         rank = F.when((F.col("bag") == F.col("x_bag")) | exact, F.lit(0.0)).otherwise(1 - alike)
-        found = cut(match.groupBy("x_offer_id").agg(F.min_by("offer_id", F.struct(rank, "offer_id")).alias("first")))
+        found = cut(match.groupBy("x_offer_id").agg(F.min_by("first_id", F.struct(rank, "offer_id")).alias("first")))
         while True:  # the first of a kind that is itself a repeat within the batch
             nxt = found.select(F.col("x_offer_id").alias("first"), F.col("first").alias("further"))
             found = cut(found.join(nxt, "first", "left").select("x_offer_id", F.coalesce("further", "first").alias("first"), F.col("further").isNotNull().alias("moved")))
@@ -292,14 +296,16 @@ class OfferIndex:
                 break
             found = found.drop("moved")
         found = found.select("x_offer_id", "first")
-        settled = kinds.join(found, kinds["offer_id"] == found["x_offer_id"], "left").withColumn("first_id", F.coalesce("first", "offer_id"))
+        settled = cut(kinds.join(found, kinds["offer_id"] == found["x_offer_id"], "left").withColumn("first_id", F.coalesce("first", "offer_id")).select("offer_id", *attrs, "k1", "k2", "first_id"))
         r = self.rounds
-        settled.where("first IS NULL").select("offer_id", *attrs).write.mode("overwrite").parquet(f"{self.path}/kinds/{r}")
+        resolved = settled.unionByName(known_kinds).select("k1", "k2", "first_id")
+        out = cut(offers.select("k1", "k2", "offer_id").join(resolved, ["k1", "k2"]).where("first_id < offer_id").select("first_id", "offer_id").distinct())
+        settled.write.mode("overwrite").parquet(f"{self.path}/kinds/{r}")
         placed.write.mode("overwrite").parquet(f"{self.path}/names/{r}")
         links.write.mode("overwrite").parquet(f"{self.path}/links/{r}")
         self.rounds += 1
         self.known_names += fresh
-        return cut(offers.select("k1", "k2", "offer_id").join(settled.select("k1", "k2", "first_id"), ["k1", "k2"]).where("first_id < offer_id").select("first_id", "offer_id").distinct())
+        return out
 
 
 def deduplicate(offers: DataFrame, index: OfferIndex, batch: str = "batch_no", per_round: int = BATCHES_PER_ROUND) -> DataFrame:

@@ -71,3 +71,11 @@ def test_probe_finds_what_brute_force_finds(spark):
     got = {(r["q"], r["name"]) for r in _probe(q, m, 1, 1).collect()}
     assert got == want and len(want) > 500
     assert all(np.linalg.norm(vector(a) - vector(b)) <= radius(a) for a, b in want)
+
+
+def test_any_grouping_of_batches_gives_the_same_rows(spark):
+    cut_off = T[: T.index(" 156")]
+    other = "Hrana umeda pisici Vohind Ginund Jestos Stekutam curcan adult 156 g"
+    rows = [(1, 1, cut_off, D, None), (2, 2, T, D, None), (3, 3, other, D, None), (4, 4, other + " NOU!", D, None), (5, 5, T, D, None), (6, 5, other, D, None)]
+    got = [found(spark, rows, per_round=k) for k in (1, 2, 10)]
+    assert got[0] == [(1, k) for k in range(2, 7)] and all(g == got[0] for g in got)
