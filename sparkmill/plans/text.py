@@ -74,7 +74,7 @@ def json_payload_fields(s, d):
 
 
 def lexical_rank(s, d):
-    """For every product title's first two words as a query, the best titles of the dimension that hold both."""
+    """For the first two words of more than six letters, by the alphabet, of every product title that has two, the best titles of the dimension that hold both. A sample that SQL can check; lexical_ranked is the whole operator."""
     from pyspark.sql import Window
 
     q = T(s, d, "products").select(F.col("id").alias("q"), F.slice(F.filter(C.tokens(F.col("title")), lambda w: F.length(w) > 6), 1, 2).alias("ws")).where("size(ws) = 2")
@@ -85,6 +85,21 @@ def lexical_rank(s, d):
     return sc.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i"))).where("pos <= 5")
 
 
+def lexical_ranked(s, d):
+    """For every product's title as a query, the titles of the dimension that hold all of its words, by the share of their words that are the query's; a pool of 200. A title without words has none."""
+    from pyspark.sql import Window
+
+    q = T(s, d, "products").select(F.col("id").alias("q"), C.tokens(F.col("title")).alias("ws")).where("size(ws) > 0").distinct()
+    n = T(s, d, "norm_listings").select(F.col("id").alias("i"), C.tokens(F.col("sample_title")).alias("t"))
+    inv = n.select("i", "t", F.explode("t").alias("w"))
+    df = inv.groupBy("w").agg(F.count("*").alias("df"))
+    # a title that holds all words holds the rarest; a word of no title ends the query
+    rarest = q.select("q", "ws", F.explode("ws").alias("w")).join(df, "w", "left").groupBy("q", "ws").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
+    hit = rarest.join(inv, "w").where(F.size(F.array_except("ws", "t")) == 0)
+    sc = hit.select("q", "i", F.round(F.size("ws") / F.size("t"), 6).alias("score"))
+    return sc.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i"))).where("pos <= 200")
+
+
 def block_topk_cosine(s, d):
     e = T(s, d, "embeddings").where("label IS NOT NULL")
     return V.block_top_k(e, e, "label", "vec_id", "vec_id", "embedding", 5).select("q", "i", "sim", "rank")
@@ -130,7 +145,7 @@ def connected_labels(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    normalized_title_hash, blocking_keys, flavour_join, title_tokens, money_texts, pair_text, attribute_diff, token_filter, like_any, size_rank_overlap, json_payload_fields, lexical_rank, block_topk_cosine, global_topk_cosine, rrf_fusion, recall_mrr, connected_labels,
+    normalized_title_hash, blocking_keys, flavour_join, title_tokens, money_texts, pair_text, attribute_diff, token_filter, like_any, size_rank_overlap, json_payload_fields, lexical_rank, lexical_ranked, block_topk_cosine, global_topk_cosine, rrf_fusion, recall_mrr, connected_labels,
 )}
 
 _FOLD = "trim(regexp_replace(translate(lower({}), 'ăâàáäãåèéêëìíîïòóôöõùúûüçñșşțţýÿ', 'aaaaaaaeeeeiiiiooooouuuucnssttyy'), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
