@@ -26,7 +26,7 @@ from sparkmill.session import cut, table
 
 #: Length of the n-grams; the least cosine; edits by which two spellings of a line may differ in all.
 GRAM, COSINE, EDITS = 3, 0.4, 2
-#: Distinct names that share a word beyond which candidates must also share an n-gram of the rest.
+#: Distinct names that share a word beyond which they are compared in blocks, each name of about so many with all.
 HOT_WORD = 400
 _STAGE = {"puppy": "young", "kitten": "young", "junior": "young", "adult": "adult", "senior": "senior"}
 
@@ -119,9 +119,10 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     keys = cut(single.unionByName(two))
     hot = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     keys = keys.join(hot, "key")
-    gram = F.when(F.col("df") > HOT_WORD, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("rest") - 1, F.lit(1))), lambda i: F.substring("rest", i, F.lit(2))))).otherwise(F.array(F.lit("")))
-    keys = keys.withColumn("g", F.explode(gram)).select("key", "g", "line", "rest")
-    x, y = keys.alias("x"), keys.alias("y")
+    # every two names of a word meet in one block, so the pairs don't depend on how many share it
+    blocks = F.ceil(F.col("df") / HOT_WORD)
+    x = keys.select("key", F.pmod(F.xxhash64("line"), blocks).alias("g"), "line", "rest").alias("x")
+    y = keys.select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("g"), "line", "rest").alias("y")
     near = (F.length("x.rest") == 0) | (F.length("y.rest") == 0) | (F.levenshtein("x.rest", "y.rest", 2 * EDITS) >= 0)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.line") < F.col("y.line")) & near)
     pairs = pairs.select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct()

@@ -1,3 +1,6 @@
+import itertools
+
+from sparkmill.llm import articles as module
 from sparkmill.llm.articles import articles, similar_lines, word_edits
 
 SCHEMA = "id int, sample_title string, product_line string, net_weight_g int, net_volume_ml int, pack_count int, bonus_weight_g int, life_stage string, flavour string, species string, article string"
@@ -36,3 +39,13 @@ def test_lines(spark):
     got = {(r["a"], r["b"]) for r in similar_lines(spark.createDataFrame([(" ".join(sorted(n.split())),) for n in names], "line string")).collect()}
     assert got == {("clazort pezis", "clazort pezs"), ("clazort pezis", "clazortpezis")}
     assert word_edits("a bcd", "bcd a") == 0 and word_edits("ab cd", "abcd") == 0 and word_edits("clazort pezis", "clazort pezs") == 1
+
+
+def test_hot_words_lose_no_pair(spark, monkeypatch):
+    hot = [f"{r} naturalissimo" for r in ("duo", "dou", "x y", "xy", "gold", "glod", "brekart", "brekat")]
+    others = [f"{''.join(w)}fum {''.join(w)}gro" for w in itertools.product("bdkt", "aeou", "lmnrs")]
+    df = spark.createDataFrame([(" ".join(sorted(n.split())),) for n in hot + others], "line string")
+    pairs = lambda: {(r["a"], r["b"]) for r in similar_lines(df).collect() if "naturalissimo" in r["a"] and "naturalissimo" in r["b"]}
+    cold = pairs()
+    monkeypatch.setattr(module, "HOT_WORD", 3)
+    assert pairs() == cold and {("dou naturalissimo", "duo naturalissimo"), ("naturalissimo x y", "naturalissimo xy")} <= cold
