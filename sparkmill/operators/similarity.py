@@ -43,3 +43,17 @@ def retrieval_quality(ranking: DataFrame, relevant: DataFrame, query: str, item:
     """One row: queries, hit_at_k for each k, mrr. A query without a relevant item among the ranked counts 0."""
     hits = relevant.join(ranking, [query, item], "left").groupBy(query).agg(F.min(rank).alias("r"))
     return hits.agg(F.count("*").alias("queries"), *[F.round(F.avg((F.coalesce("r", F.lit(1 << 30)) <= k).cast("int")), 6).alias(f"hit_at_{k}") for k in ks], F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def recall_either_direction(ranking: DataFrame, pairs: DataFrame, query: str, item: str, rank: str, left: str, right: str, bucket: str, k: int) -> DataFrame:
+    """bucket, pooled, pairs, hits, recall: of the pairs (left, right) of each bucket those with right among left's k best or left among right's, and one row pooled over all (pooled = 1, bucket null).
+
+    Every row of pairs counts. Pairs of an item with itself or with a null end can't be tested and are left out; a null bucket is one of its own.
+    """
+    near = ranking.where(F.col(rank) <= k).select(query, item).distinct()
+    forth = near.select(F.col(query).alias("_l"), F.col(item).alias("_r"))
+    both = forth.unionByName(forth.select(F.col("_r").alias("_l"), F.col("_l").alias("_r"))).distinct().withColumn("_hit", F.lit(1))
+    p = pairs.where(F.col(left) != F.col(right)).select(F.col(bucket).alias("bucket"), F.col(left).alias("_l"), F.col(right).alias("_r"))
+    j = p.join(both, ["_l", "_r"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
+    g = j.groupingSets([["bucket"], []], "bucket").agg(F.grouping("bucket").cast("int").alias("pooled"), F.count("*").alias("pairs"), F.sum("_hit").alias("hits"))
+    return g.where("pairs > 0").select("bucket", "pooled", "pairs", "hits", F.round(F.col("hits") / F.col("pairs"), 6).alias("recall"))
