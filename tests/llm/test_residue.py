@@ -59,7 +59,8 @@ def test_near_bodies_finds_what_brute_force_finds(spark):
     bodies = sorted(bodies)
     sets = [shingles(b) for b in bodies]
     want = {(a, b) for i, a in enumerate(bodies) for j, b in enumerate(bodies) if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
-    got = {(r["a"], r["b"]) for r in near_bodies(spark.createDataFrame([(b, 0) for b in bodies], "body string, hash bigint")).collect()}
+    h = [(b, x - (1 << 64) if x >> 63 else x) for b in bodies for x in [simhash(b.split())]]
+    got = {(r["a"], r["b"]) for r in near_bodies(spark.createDataFrame(h, "body string, hash bigint")).collect()}
     assert got == want and len(want) > 50
 
 
