@@ -1,20 +1,42 @@
-"""Text functions as column expressions; they stay inside whole-stage code generation."""
+"""Text functions as column expressions. Only the folding of texts beyond ASCII leaves whole-stage code generation."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Letters with marks and their plain letters, one for one.
-_MARKED = "ăâàáäãåèéêëìíîïòóôöõùúûüçñșşțţýÿ"
-_PLAIN = "aaaaaaaeeeeiiiiooooouuuucnssttyy"
+#: The characters that separate words in Unicode, and the four separators of ASCII.
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words of ingredients in the order in which they are looked for, and what they are called.
 FLAVOURS = {"pui": "Chicken", "chicken": "Chicken", "rata": "Duck", "duck": "Duck", "miel": "Lamb", "lamb": "Lamb", "vita": "Beef", "beef": "Beef", "somon": "Salmon", "salmon": "Salmon", "ton": "Tuna", "tuna": "Tuna", "pastrav": "Trout", "trout": "Trout", "hering": "Herring", "herring": "Herring", "curcan": "Turkey", "turkey": "Turkey", "iepure": "Rabbit", "rabbit": "Rabbit", "porc": "Pork", "pork": "Pork", "caprioara": "Venison", "venison": "Venison"}
 
 
+@F.pandas_udf(StringType())
+def _without_marks(text: pd.Series) -> pd.Series:
+    seen: dict[str, str] = {}
+    out = []
+    for t in text:
+        if t is not None and t not in seen:
+            seen[t] = "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+        out.append(None if t is None else seen[t])
+    return pd.Series(out, dtype="object")
+
+
+def single_spaces(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, f"[{SPACES}]+", " "))
+
+
 def fold(c: Column) -> Column:
-    """Lower case, common letters without marks, single spaces, trimmed; null stays null."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), _MARKED, _PLAIN), r"[\s ]+", " "))
+    """Lower case, compatibility decomposition without combining marks (NFKD), single spaces, trimmed; null stays null.
+
+    Only texts beyond ASCII leave the JVM, in Arrow batches; the others are lowered in place.
+    """
+    marked = _without_marks(F.when(~c.rlike(r"^\p{ASCII}*$"), c))
+    return single_spaces(F.coalesce(marked, F.lower(c)))
 
 
 def content_hash(folded: Column) -> Column:

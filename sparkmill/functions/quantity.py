@@ -24,7 +24,7 @@ from typing import NamedTuple
 
 from sparkmill.functions.units import MASS, NUMBER, SMALL, UNITS, VOLUME, half_up, parse_number, parse_unit
 
-_UNIT_NAMES = sorted((n for n, u in UNITS.items() if u.dim in (MASS, VOLUME) and n not in {"floz", "t", "tona", "tone", "kilo", "kile", "deca", "mg"}), key=len, reverse=True)
+_UNIT_NAMES = sorted((n for n, u in UNITS.items() if u.dim in (MASS, VOLUME) and n != "floz"), key=len, reverse=True)
 _UNIT = r"(?:fl\.?\s?oz|" + "|".join(_UNIT_NAMES) + r")(?![a-z])\.?"
 _QTY = re.compile(rf"(?<![\d.,/])({NUMBER})[\s-]?({_UNIT})")
 _SUM = re.compile(rf"(?<![\d.,/])({NUMBER})\s?\+\s?({NUMBER})[\s-]?({_UNIT})")
@@ -46,6 +46,7 @@ _COUNT_AFTER = re.compile(rf"\s*x\s*(\d{{1,3}})(?:\s*{_PIECES}|(?![\d.,]|\s*x|\s
 _SET_ANY = re.compile(rf"(?:\bset\s+(?:de\s+)?|\(\s*)(\d{{1,3}})\s*{_PIECES}")
 _SPACES = re.compile(r"\s+")
 _WORD_AFTER = re.compile(rf"(?<![\d.,/])({NUMBER})[\s-]?([a-z]{{5,10}})\b")
+_DOSE = re.compile(r"\d[\s-]?mg\.?$")
 _LONG_UNITS = ("kilograme", "grame", "pounds", "ounces", "litri")
 
 
@@ -108,6 +109,8 @@ def read_amount(text: str | None) -> Amount:
         u, v = parse_unit(name), parse_number(m[1], name in SMALL)
         if u and v is not None:
             found.append((m.start(), m.end(), v * u.scale, u.dim, bool(_MARK_AFTER.match(s, m.end()))))
+    # milligrams are the dose of a substance where another amount is stated, or where they are less than a gram
+    found = [x for x in found if x[4] or not _DOSE.search(s[x[0] : x[1]])] or [x for x in found if x[2] >= 1]
     if not found:
         for m in _WORD_AFTER.finditer(s):  # a typing slip in a long unit's name
             name = next((n for n in _LONG_UNITS if one_edit(n, m[2])), None)

@@ -95,12 +95,12 @@ def parse_unit(text: str) -> Unit | None:
 
 
 _PARTS = {"½": Fraction(1, 2), "¼": Fraction(1, 4), "¾": Fraction(3, 4)}
-#: A number: a vulgar fraction (one sign, or two numbers with a slash), or digits with marks between groups.
-NUMBER = r"(?:\d{1,2}/\d{1,2}(?![\d/])|\d+(?:[.,]\d+)*\s?[½¼¾]?|[½¼¾])"
+#: A number: a vulgar fraction (one sign, or two numbers with a slash, also behind a whole number), or digits with marks between groups.
+NUMBER = r"(?:(?:\d{1,3}\s)?\d{1,2}/\d{1,2}(?![\d/])|\d+(?:[.,]\d+)*\s?[½¼¾]?|[½¼¾])"
 
 
 def parse_number(text: str, small_unit: bool = False) -> Fraction | None:
-    """A number as typed: ``1.5``, ``1,5``, ``12.500`` (12500 before a small unit), ``1.234,5``, ``2½``.
+    """A number as typed: ``1.5``, ``1,5``, ``12.500`` (12500 before a small unit), ``1.234,5``, ``2½``, ``1/2``, ``1 1/2``.
 
     Two different marks: the last is the decimal mark. One mark more than once: thousands. One mark
     once: thousands if exactly three digits follow, at most three (not a lone 0) go before and the unit is small, else decimal.
@@ -113,7 +113,8 @@ def parse_number(text: str, small_unit: bool = False) -> Fraction | None:
             return part
     if "/" in s:
         a, b = s.split("/")
-        return Fraction(int(a), int(b)) if int(b) else None
+        *whole, a = a.split()
+        return int(whole[0] if whole else 0) + Fraction(int(a), int(b)) if int(b) else None
     marks = [c for c in s if c in ".,"]
     if not marks:
         return Fraction(int(s)) + part if s.isdigit() else None

@@ -21,20 +21,24 @@ def moved(now: Column, before: Column, percent: int) -> Column:
     return F.when(before == 0, now != 0).otherwise(F.abs(now - before) * 100 >= before * percent)
 
 
-def move_kind(price: str, compare: str, percent: int) -> Column:
-    """The first that holds of: base_change (the undiscounted price moved), promo_start, promo_end, promo_depth (a promotion's price moved), sub_threshold (any smaller change); null for no change."""
+def move_kinds(price: str, compare: str, percent: int) -> Column:
+    """All kinds of change that hold on a day pair, as an array: base_change (the undiscounted price moved), promo_start, promo_end, promo_depth (the price moved while on promotion on both days).
+
+    Where none holds, sub_threshold alone if the undiscounted price, or the price of a lasting promotion, moved by less than percent; else the array is empty.
+    """
     on = lambda p, c: F.coalesce(F.col(c) > F.col(p), F.lit(False))
     base = lambda p, c: F.when(on(p, c), F.col(c)).otherwise(F.col(p))
     p0, c0 = f"prev_{price}", f"prev_{compare}"
-    now, was = on(price, compare), on(p0, c0)
-    changed = ~(F.col(price).eqNullSafe(F.col(p0)) & F.col(compare).eqNullSafe(F.col(c0)))
-    return (
-        F.when(moved(base(price, compare), base(p0, c0), percent), "base_change")
-        .when(now & ~was, "promo_start")
-        .when(~now & was, "promo_end")
-        .when(now & was & moved(F.col(price), F.col(p0), percent), "promo_depth")
-        .when(changed, "sub_threshold")
-    )
+    now, was, base_now, base_was = on(price, compare), on(p0, c0), base(price, compare), base(p0, c0)
+    holds = {
+        "base_change": moved(base_now, base_was, percent),
+        "promo_start": now & ~was,
+        "promo_end": was & ~now,
+        "promo_depth": was & now & moved(F.col(price), F.col(p0), percent),
+    }
+    kinds = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in holds.items()]))
+    small = (base_now != base_was) | (was & now & (F.col(price) != F.col(p0)))
+    return F.when(F.size(kinds) > 0, kinds).when(small, F.array(F.lit("sub_threshold"))).otherwise(F.array().cast("array<string>"))
 
 
 def evaluable(daily: DataFrame, keys: Sequence[str], day: str, event: str, days: int = 7, missing: int = 0) -> DataFrame:

@@ -15,8 +15,9 @@ _KINDS = (
     _DAILY
     + """, p as (select a.*, b.price p0, b.c c0 from daily a join daily b on a.source = b.source and a.external_id = b.external_id and b.d = a.d - 1 where a.price is not null and b.price is not null),
   q as (select *, coalesce(c > price, false) pn, coalesce(c0 > p0, false) pw, case when coalesce(c > price, false) then c else price end bn, case when coalesce(c0 > p0, false) then c0 else p0 end bw from p),
-  kinds as (select source, external_id, d, case when (bw = 0 and bn <> 0) or (bw <> 0 and abs(bn - bw) * 100 >= bw * {n}) then 'base_change' when pn and not pw then 'promo_start' when pw and not pn then 'promo_end'
-  when pn and pw and ((p0 = 0 and price <> 0) or (p0 <> 0 and abs(price - p0) * 100 >= p0 * {n})) then 'promo_depth' when price is distinct from p0 or c is distinct from c0 then 'sub_threshold' end kind from q)"""
+  r as (select *, list_filter([case when (bw = 0 and bn <> 0) or (bw <> 0 and abs(bn - bw) * 100 >= bw * {n}) then 'base_change' end, case when pn and not pw then 'promo_start' end, case when pw and not pn then 'promo_end' end,
+    case when pn and pw and ((p0 = 0 and price <> 0) or (p0 <> 0 and abs(price - p0) * 100 >= p0 * {n})) then 'promo_depth' end], lambda x: x is not null) ks from q),
+  kinds as (select source, external_id, d, case when len(ks) > 0 then ks when bn <> bw or (pn and pw and price <> p0) then ['sub_threshold'] else [] end ks, len(ks) > 0 ev from r)"""
 )
 
 
@@ -28,7 +29,8 @@ def daily(s, d):
 
 def _events(s, d, percent):
     p = S.day_pairs(daily(s, d), ["source", "external_id"], "d", ["price", "c"]).where("price IS NOT NULL AND prev_price IS NOT NULL")
-    return p.withColumn("kind", S.move_kind("price", "c", percent))
+    kinds = S.move_kinds("price", "c", percent)
+    return p.withColumn("kinds", kinds).withColumn("event", (F.size("kinds") > 0) & ~F.array_contains("kinds", "sub_threshold"))
 
 
 def day_pair_join(s, d):
@@ -36,20 +38,20 @@ def day_pair_join(s, d):
 
 
 def price_events(s, d):
-    """How many changes of each kind every source has; a move counts from two percent."""
-    return _events(s, d, 2).where("kind IS NOT NULL").groupBy("source", "kind").agg(F.count("*").alias("n"))
+    """On how many day pairs of every source each kind of change holds, all kinds of a day; a move counts from two percent."""
+    return _events(s, d, 2).select("source", F.explode("kinds").alias("kind")).groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
 def events_per_listing(s, d):
-    """Listings by their number of events, three or more as three."""
-    e = _events(s, d, 2).groupBy("source", "external_id").agg(F.count_if(F.col("kind").isNotNull() & (F.col("kind") != "sub_threshold")).alias("k"))
+    """Listings by their number of event days, three or more as three."""
+    e = _events(s, d, 2).groupBy("source", "external_id").agg(F.count_if("event").alias("k"))
     return e.groupBy("source", F.least("k", F.lit(3)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def evaluable_events(s, d):
     """Events with seven quiet days before and seven observed days from them on, one missing day forgiven on either side."""
     days = daily(s, d).select("source", "external_id", "d")
-    e = _events(s, d, 2).where("kind IS NOT NULL AND kind <> 'sub_threshold'").select("source", "external_id", "d", F.lit(True).alias("event"))
+    e = _events(s, d, 2).where("event").select("source", "external_id", "d", F.lit(True).alias("event"))
     x = days.join(e, ["source", "external_id", "d"], "left").withColumn("event", F.coalesce("event", F.lit(False)))
     return S.evaluable(x, ["source", "external_id"], "d", "event", 7, 1).select("source", "external_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
 
@@ -57,7 +59,7 @@ def evaluable_events(s, d):
 def decorative_promo(s, d):
     """Listings on promotion on nine tenths of their days without a promotion's start, end or change."""
     on = daily(s, d).groupBy("source", "external_id").agg(F.avg(F.coalesce(F.col("c") > F.col("price"), F.lit(False)).cast("int")).alias("share"))
-    e = _events(s, d, 2).groupBy("source", "external_id").agg(F.count_if(F.col("kind").like("promo%")).alias("k"))
+    e = _events(s, d, 2).groupBy("source", "external_id").agg(F.count_if(F.exists("kinds", lambda k: k.startswith("promo_"))).alias("k"))
     return on.join(e, ["source", "external_id"], "left").where("share >= 0.9 AND coalesce(k, 0) = 0").select("source", "external_id")
 
 
@@ -136,12 +138,12 @@ QUERIES = {f.__name__: f for f in (
 _K2 = _KINDS.replace("{n}", "2")
 SQL = {
     "day_pair_join": f"with {_DAILY} select a.source, count(*) pairs from daily a join daily b on a.source = b.source and a.external_id = b.external_id and b.d = a.d - 1 group by 1",
-    "price_events": f"with {_K2} select source, kind, count(*) n from kinds where kind is not null group by all",
-    "events_per_listing": f"with {_K2}, e as (select source, external_id, count(*) filter (kind <> 'sub_threshold') k from kinds group by all) select source, least(k, 3) bucket, count(*) n from e group by all",
-    "evaluable_events": f"""with {_K2}, e as (select d.*, coalesce(k.kind <> 'sub_threshold', false) ev from daily d left join kinds k on k.source = d.source and k.external_id = d.external_id and k.d = d.d),
+    "price_events": f"with {_K2} select source, kind, count(*) n from (select source, unnest(ks) kind from kinds) group by all",
+    "events_per_listing": f"with {_K2}, e as (select source, external_id, count(*) filter (ev) k from kinds group by all) select source, least(k, 3) bucket, count(*) n from e group by all",
+    "evaluable_events": f"""with {_K2}, e as (select d.*, coalesce(k.ev, false) ev from daily d left join kinds k on k.source = d.source and k.external_id = d.external_id and k.d = d.d),
         w as (select e.*, (select count(*) from e x where x.source = e.source and x.external_id = e.external_id and x.d between e.d - 7 and e.d - 1) nb, (select count(*) from e x where x.source = e.source and x.external_id = e.external_id and x.ev and x.d between e.d - 7 and e.d - 1) ne,
         (select count(*) from e x where x.source = e.source and x.external_id = e.external_id and x.d between e.d and e.d + 6) na from e where ev) select source, external_id, strftime(d, '%Y-%m-%d') as day from w where nb >= 6 and ne = 0 and na >= 6""",
-    "decorative_promo": f"""with {_K2}, o as (select source, external_id, avg(case when c > price then 1 else 0 end) share from daily group by all), e as (select source, external_id, count(*) filter (kind like 'promo%') k from kinds group by all)
+    "decorative_promo": f"""with {_K2}, o as (select source, external_id, avg(case when c > price then 1 else 0 end) share from daily group by all), e as (select source, external_id, count(*) filter (len(list_filter(ks, lambda x: x like 'promo%')) > 0) k from kinds group by all)
         select o.source, o.external_id from o left join e using (source, external_id) where share >= 0.9 and coalesce(k, 0) = 0""",
     "streak_and_gaps": """with d as (select distinct source, collected_date d from raw_listings where source is not null and collected_date is not null), i as (select source, d, d - cast(row_number() over (partition by source order by d) as integer) g from d),
         r as (select source, g, max(d) b, count(*) n from i group by all), t as (select source, max(b) b from r group by 1), x as (select source, date_diff('day', min(d), max(d)) + 1 - count(*) gap from d group by 1)

@@ -148,7 +148,7 @@ QUERIES = {f.__name__: f for f in (
     normalized_title_hash, blocking_keys, flavour_join, title_tokens, money_texts, pair_text, attribute_diff, token_filter, like_any, size_rank_overlap, json_payload_fields, lexical_rank, lexical_ranked, block_topk_cosine, global_topk_cosine, rrf_fusion, recall_mrr, connected_labels,
 )}
 
-_FOLD = "trim(regexp_replace(translate(lower({}), 'ăâàáäãåèéêëìíîïòóôöõùúûüçñșşțţýÿ', 'aaaaaaaeeeeiiiiooooouuuucnssttyy'), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
+_FOLD = "trim(regexp_replace(replace(replace(replace(strip_accents(lower({})), '½', '1⁄2'), '…', '...'), '™', 'TM'), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
 _WORDS = "list_sort(list_distinct(regexp_extract_all(" + _FOLD + ", '[a-z0-9'']+')))"
 _NAMES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in C.FLAVOURS.items()) + "}"
 _NORMED = "e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings where label is not null)"
@@ -156,6 +156,7 @@ _DENSE = _NORMED + ", dn as (select a.vec_id q, b.vec_id i, round(list_cosine_si
 _TWO = _DENSE.format(w="where a.vec_id % 50 = 0") + """, dr as (select q, i, r from (select q, i, row_number() over (partition by q order by sim desc, i) r from dn) where r <= 20),
   fr as (select q, i, r from (select a.vec_id q, b.vec_id i, row_number() over (partition by a.vec_id order by abs(a.v[1] - b.v[1]), b.vec_id) r from e a join e b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0) where r <= 20)"""
 SQL = {
+    "normalized_title_hash": f"select sha256({_FOLD.format('title')}) = content_hash same, count(*) n from raw_listings where content_hash is not null and title is not null group by 1",
     "blocking_keys": "select id, nullif(regexp_replace(lower(brand), '[^a-z0-9]+', '', 'g'), '') as key from norm_listings",
     "flavour_join": f"select id, nullif(array_to_string(list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: x), '+'), '') flavours from (select id, list_transform(regexp_extract_all({_FOLD.format('sample_title')}, '\\b({'|'.join(C.FLAVOURS)})\\b', 1), lambda w: {_NAMES}[w]) l from norm_listings)",
     "title_tokens": f"select id, array_to_string({_WORDS.format('title')}, ' ') words from products",

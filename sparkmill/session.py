@@ -27,12 +27,14 @@ def build(app: str = "sparkmill", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where that is unset, a folder of this process on a local master; on any other a RuntimeError, as a folder of one machine would be no shared one."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
         if d is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             d = "file://" + tempfile.mkdtemp(prefix="sparkmill-")
             sc.setCheckpointDir(d)
         return d

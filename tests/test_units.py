@@ -35,6 +35,15 @@ from sparkmill.operators.units_normalize import canonical_quantity, disagreeing,
         ("TRANSPORT GRATUIT 12 kg", (12000, None, None, None)),
         ("13,608KG TRANSPORT GRATUIT (caini 5-20 kg)", (13608, None, None, None)),
         ("Senior sac 25 x 24 cm | Livrare 24h", (None, None, None, None)),
+        ("2 kile", (2000, None, None, None)),
+        ("3 kilo caini", (3000, None, None, None)),
+        ("20 deca", (200, None, None, None)),
+        ("0,5 tone", (500000, None, None, None)),
+        ("1 1/2 kg", (1500, None, None, None)),
+        ("12 x 1 1/2 kg", (1500, None, 12, None)),
+        ("Taurina 250mg, 100 g", (100, None, None, None)),
+        ("5000 mg", (5, None, None, None)),
+        ("250 mg", (None, None, None, None)),
         ("40 xilograme", (40000, None, None, None)),
         (None, (None, None, None, None)),
         ("", (None, None, None, None)),
