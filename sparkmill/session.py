@@ -58,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df as it is read, so that tasks grow with the data; input of fewer parts than there are cores (a small or unsplittable file) is spread over them by its keys, for work that costs more than moving the rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n, *keys) if df.rdd.getNumPartitions() < n else df
+
+
 _SHIPPED = "_sparkmill_shipped"
 
 
