@@ -1,21 +1,24 @@
 """New batches against everything accepted (problem 6), by a persisted inverted file of vector cells.
 
-An offer's name (the words of its title that are no attribute, amount or
-advertisement) is a vector of bits: its letters with their counts, and its hashed character trigrams. An edit changes only so
-many of either, however they collide, so the distances of names that same_words accepts are bounded. The index holds the names in cells: a centre, its members
-with full vectors, its radius. A query's distance to a cell's members is at least its distance to the
-centre less the radius, so cells beyond the search radius are left out, and no match is missed. Members found
-are compared exactly: the words may differ by typing slips only, and age group, ingredient, content,
-units and bonus must agree. What is new is appended to the cells; history is never processed again. Every kind is kept with
-the first of its chain, also a repeat, so that the rows don't depend on which batches are processed together.
-
-Names and offers are reduced to different ones first, so that a hot group of
-copies costs no more than its variants. Queries and cells meet in blocks of bounded size.
+An offer's name (the words of its title that are no attribute, amount or advertisement) is a vector of bits: its letters with
+their counts, and its hashed character trigrams. The index holds the names, with their full vectors, in cells: one for
+each of a name's words and one for each of its letter sets (all letters, and all but one of each). A query probes the cells of its rarest word and of all words
+within two edits of that, then the next rarest word's own cell and those of its letter sets. A name outside these differs by
+three edits or more in one word, by more than one short word, and by two letters or more where words are joined or parted, so no nearer match
+is possible and the search ends: cells of common words are left alone. In the cells, names whose vectors differ in more bits
+than the allowed edits can change are dropped; the others are compared exactly: the words may differ by typing slips only, and age
+group, ingredient, content, units and bonus must agree. What is new is appended to the cells; history is not processed again.
+Every kind is kept with the first of its chain, also a repeat, so that the rows don't depend on how batches are grouped.
+
+The index lies in a folder that all executors share and is opened again by its path. A manifest, written last, names the
+folders that count; a batch that broke off leaves none. Cells lie in files by number, and a batch reads only the files of the cells that it probes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import re
 import zlib
 from collections import Counter
@@ -24,24 +27,26 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from sparkmill.functions import titles
 from sparkmill.functions.quantity import Amount, fold, read_amount
 from sparkmill.functions.titles import read_title
 from sparkmill.llm.brands import levenshtein, with_swaps
-from sparkmill.session import cut, scratch_path, table
+from sparkmill.session import cut, scratch_path, spread, table
 
-#: Bits of a vector: letters (26 and two for all else) by counts up to COUNTS, then trigrams.
-LETTERS, COUNTS, DIMENSIONS = 28, 4, 256
+#: Bits of a vector: letters (26 and two for all else) by counts up to COUNTS, filled up to whole words of 64, then trigrams.
+LETTERS, COUNTS, LETTER_BITS, DIMENSIONS = 28, 4, 128, 256
+VECTOR = [f"v{i}" for i in range((LETTER_BITS + DIMENSIONS) // 64)]
 #: Most bits in which names differ that same_words accepts. Letters: a substitution changes two, and there are three edits; a word of five stands alone.
-#: Trigrams: a swap changes four on either side; of words joined or parted two edits, and two on either side of four borders. A name whose trigrams differ from a centre's in at most CELL bits joins its cell.
-LETTERS_APART, TRIGRAMS_APART, CELL = 3 * 2, 2 * 8 + 4 * 4, 6
-#: Members and queries that meet in one task, on average.
-BLOCK = 8_192
-#: Batches that are processed together; within a round the order of arrival decides.
-BATCHES_PER_ROUND = 6
+#: Trigrams: a swap changes four on either side; of words joined or parted one edit, and two on either side of four borders.
+LETTERS_APART, TRIGRAMS_APART = 3 * 2, 2 * 8 + 4 * 4
+#: Edits in a word, swaps counted once. Words up to SHORT letters meet by what is left without as many letters, longer ones by their pieces.
+WORD_EDITS, SHORT, PIECES = 2, 16, 5
+#: Files of the cells in a folder of the index; folders of one size that are merged into one.
+CELLS, FAN_IN = 8, 4
 
 _VOCABULARY = sorted(
     {w for words in (titles.AGE, titles.INGREDIENT, titles.SPECIES, titles.SIZE, titles.FORM, titles.ADVERTS, titles.LINKS) for phrase in words for w in re.findall(r"[a-z]{4,}", phrase)}
@@ -110,32 +115,78 @@ def read_offer(title: str | None, description: str | None) -> tuple[str, str | N
     return " ".join(sorted(words)), age, ing, a, " ".join(sorted(re.findall(r"[a-z0-9.,']+", s)))
 
 
-@lru_cache(maxsize=4 * BLOCK)
 def vector(name: str) -> np.ndarray:
-    v = np.zeros(LETTERS * COUNTS + DIMENSIONS, np.float32)
+    v = np.zeros(LETTER_BITS + DIMENSIONS, bool)
     for c, n in Counter(name.replace(" ", "")).items():
         at = COUNTS * (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 2)
         have = int(v[at : at + COUNTS].sum())
-        v[at + have : at + min(COUNTS, have + n)] = 1
+        v[at + have : at + min(COUNTS, have + n)] = True
     for w in name.split():
         w = f" {w} "
         for i in range(len(w) - 2):
-            v[LETTERS * COUNTS + zlib.crc32(w[i : i + 3].encode()) % DIMENSIONS] = 1
+            v[LETTER_BITS + zlib.crc32(w[i : i + 3].encode()) % DIMENSIONS] = True
     return v
 
 
-def radius(name: str) -> float:
-    """The greatest distance of vectors of names that same_words accepts, whatever the name: the root of the bits in which they differ."""
-    return float(np.sqrt(LETTERS_APART + TRIGRAMS_APART))
+def packed(name: str) -> list[int]:
+    return np.packbits(vector(name)).view(np.int64).tolist()
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bits in which every row of x differs from every column of y."""
-    return x.sum(1)[:, None] + y.sum(0)[None, :] - 2 * (x @ y)
+def within(x: str, y: str) -> Column:
+    """Whether the vectors of x and y (prefixes of columns) differ in no more bits than same_words can leave."""
+    bits = [F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in VECTOR]
+    n = LETTER_BITS // 64
+    return (sum(bits[1:n], bits[0]) <= LETTERS_APART) & (sum(bits[n + 1 :], bits[n]) <= TRIGRAMS_APART)
+
+
+@lru_cache(maxsize=4096)
+def _weight(letter: str) -> int:
+    return int.from_bytes(hashlib.blake2b(letter.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def letter_sets(name: str) -> list[int]:
+    """Sums of the letters' weights: of all letters of a name, and of all but one of each different letter. Names one edit apart, however parted into words, share one."""
+    letters = Counter(name.replace(" ", ""))
+    whole = sum(_weight(c) * n for c, n in letters.items())
+    return [((whole - x + 2**63) % 2**64) - 2**63 for x in (0, *map(_weight, sorted(letters)))]
+
+
+def word_keys(word: str) -> tuple[list[str], list[str]]:
+    """Keys under which a word is kept, and those under which it is looked for: two words within WORD_EDITS edits share one.
+
+    A short word: what is left without any WORD_EDITS letters or fewer. A longer one is kept by its PIECES pieces, one of which the
+    edits leave whole, as a swap can reach over into a second, and looked for by every piece that words of nearly its length can have nearly there.
+    """
+    kept: set[str] = set()
+    sought: set[str] = set()
+    n = len(word)
+    if n <= SHORT:
+        level = {word}
+        for _ in range(WORD_EDITS):
+            level |= {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        kept |= {"-" + w for w in level}
+    sought |= kept
+    if n > SHORT - WORD_EDITS:
+        ends = lambda m: [m * i // PIECES for i in range(PIECES + 1)]
+        e = ends(n)
+        kept |= {f"{n}/{e[i]}/{word[e[i] : e[i + 1]]}" for i in range(PIECES)}
+        for m in range(n - WORD_EDITS, n + WORD_EDITS + 1):
+            e = ends(m)
+            for i in range(PIECES):
+                for at in range(max(0, e[i] - WORD_EDITS), min(n, e[i] + WORD_EDITS) + 1):
+                    piece = word[at : at + e[i + 1] - e[i]]
+                    if len(piece) == e[i + 1] - e[i]:
+                        sought.add(f"{m}/{e[i]}/{piece}")
+    return sorted(kept), sorted(sought)
+
+
+def words_of(name: str) -> list[str]:
+    """The different words by which a name is compared; none of a name that is known by a hash or not at all."""
+    return [] if name.startswith("#") else sorted(set(name.split()))
 
 
 def same_words(a: str, b: str) -> bool:
-    """Whether two names are one but for slips: at most three edits, two in a word, words joined or parted."""
+    """Whether two names are one but for slips: at most three edits, two in a word; a short word more; or words joined or parted, with at most one edit. Only names of words can be alike."""
     if a == b:
         return True
     if a.startswith("#") or b.startswith("#"):  # known by a hash or not at all
@@ -145,22 +196,23 @@ def same_words(a: str, b: str) -> bool:
         if w in y:
             x.remove(w)
             y.remove(w)
-    if not x or not y:
-        return len(x + y) == 1 and len((x + y)[0]) <= 5  # a word of the trade that a slip has made a name
+    if not x or not y:  # a word of the trade that a slip has made a name
+        return len(x + y) == 1 and len((x + y)[0]) <= 5 and bool(a) and bool(b)
     if len(x) == len(y) <= 4:
         far = []
         for u in x:
             # a swap is two of the metric's edits, so more than four of these are more than two slips
             far.append([with_swaps(u, w) if abs(len(u) - len(w)) <= 2 and levenshtein(u, w) <= 4 else 9 for w in y])
-            if len(x) > 1 and min(far[-1]) > 2:
-                return False
-        for p in itertools.permutations(range(len(y))):
-            e = [far[i][j] for i, j in enumerate(p)]
-            if sum(e) <= 3 and all(k <= min(2, max(1, len(u) // 3)) for k, u in zip(e, x)):
-                return True
+            if min(far[-1]) > 2:
+                break
+        else:
+            for p in itertools.permutations(range(len(y))):
+                e = [far[i][j] for i, j in enumerate(p)]
+                if sum(e) <= 3 and all(k <= min(2, max(1, max(len(u), len(y[j])) // 3)) for k, u, j in zip(e, x, p)):
+                    return True
     p, q = "".join(x), "".join(y)
-    if len(x) <= 3 and len(y) <= 3 and abs(len(p) - len(q)) <= 2 and sum((Counter(p) - Counter(q)).values()) <= 2:
-        return any(with_swaps("".join(p), "".join(q)) <= 2 for p in itertools.permutations(x) for q in itertools.permutations(y)) and len("".join(x)) > 5
+    if len(x) <= 3 and len(y) <= 3 and abs(len(p) - len(q)) <= 1 and sum((Counter(p) - Counter(q)).values()) <= 1:
+        return any(with_swaps("".join(p), "".join(q)) <= 1 for p in itertools.permutations(x) for q in itertools.permutations(y)) and max(len("".join(x)), len("".join(y))) > 5
     return False
 
 
@@ -185,96 +237,182 @@ def read_offers(batch: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OFFER.split(", ")], dtype="object")
             yield out.astype({"offer_id": "int32", "w": "Int32", "v": "Int32", "n": "Int32", "b": "Int32"})
 
-    n = batch.sparkSession.sparkContext.defaultParallelism
-    return batch.select("offer_id", "title", "description", "content_hash").where("offer_id IS NOT NULL").repartition(2 * n, "offer_id").mapInPandas(run, _OFFER)
-
-
-def _probe(queries: DataFrame, members: DataFrame, blocks: int, slices: int) -> DataFrame:
-    """q, name, cell, to_centre of every pair within the query's radius whose words agree. members: name, cell, vec (packed bits); a cell's centre is the member whose name is the cell's."""
-    q = queries.select(F.col("name").alias("q"), F.pmod(F.xxhash64("name"), F.lit(slices)).alias("s")).select("q", "s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
-    m = members.select("name", "cell", "vec", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int").alias("k")).select("*", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("s"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(a) and len(b):
-            b = b.sort_values(["cell", "name"], ignore_index=True)
-            x = np.stack([vector(n) for n in a["q"]])
-            y = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in b["vec"]]), axis=1).astype(np.float32)
-            names, cells, qs = b["name"].to_numpy(), b["cell"].to_numpy(), a["q"].to_numpy()
-            first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-            size = np.diff(np.r_[first, len(b)])
-            centre = np.array([f + int(np.argmax(names[f : f + n] == cells[f])) for f, n in zip(first, size)])
-            parts = [(slice(0, LETTERS * COUNTS), LETTERS_APART), (slice(LETTERS * COUNTS, None), TRIGRAMS_APART)]
-            from_centre = np.abs(y - y[np.repeat(centre, size)])
-            centres = np.ascontiguousarray(y[centre].T)
-            # a cell's spread widens the radius
-            reach = [most + np.maximum.reduceat(from_centre[:, p].sum(1), first) for p, most in parts]
-            for at in range(0, len(x), 1024):
-                letters, trigrams = (_apart(x[at : at + 1024, p], centres[p]) for p, _ in parts)
-                for i, c in zip(*np.nonzero((letters <= reach[0]) & (trigrams <= reach[1]))):  # cells that can hold a match
-                    f, n = first[c], size[c]
-                    near = (0,)
-                    if n > 1:
-                        d = np.abs(y[f : f + n] - x[at + i])
-                        near = np.flatnonzero(np.logical_and(*(d[:, p].sum(1) <= most for p, most in parts)))
-                    for j in near:
-                        if same_words(qs[at + i], names[f + j]):
-                            out.append((qs[at + i], names[f + j], cells[f], float(trigrams[i, c])))
-        return pd.DataFrame(out, columns=["q", "name", "cell", "to_centre"])
-
-    return q.groupBy("k", "s").cogroup(m.groupBy("k", "s")).applyInPandas(meet, "q string, name string, cell string, to_centre double")
+    return spread(batch.select("offer_id", "title", "description", "content_hash").where("offer_id IS NOT NULL"), "offer_id").mapInPandas(run, _OFFER)
 
 
-class OfferIndex:
-    """The accepted offers, persisted under a folder that all executors share: names in vector cells, and every kind (offers that are read alike) with its earliest offer and the first_id it was resolved to."""
+def read_names(names: DataFrame) -> DataFrame:
+    """name, words, sets and the vector of each name."""
+    schema = "name string, words array<string>, sets array<bigint>, " + ", ".join(f"{c} bigint" for c in VECTOR)
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path or scratch_path(spark, "offers")
-        self.rounds = 0
-        self.known_names = 0
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            rows = [(n, words_of(n), letter_sets(n) if words_of(n) else [], *packed(n)) for n in d["name"]]
+            yield pd.DataFrame(rows, columns=["name", "words", "sets", *VECTOR])
+
+    return names.select("name").mapInPandas(run, schema)
+
+
+def _keyed(words: DataFrame) -> DataFrame:
+    """word, kept, sought: the keys of word_keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            yield pd.DataFrame([(w, *word_keys(w)) for w in d["word"]], columns=["word", "kept", "sought"])
+
+    return words.select("word").mapInPandas(run, "word string, kept array<string>, sought array<string>")
+
+
+@F.pandas_udf(BooleanType())
+def _near_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([levenshtein(x, y) <= 2 * WORD_EDITS and with_swaps(x, y) <= WORD_EDITS for x, y in zip(a, b)], dtype=bool)
+
+
+@F.pandas_udf(BooleanType())
+def _same_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_words(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+def _both_ways(pairs: DataFrame, a: str, b: str, x: str, y: str) -> DataFrame:
+    """Different pairs x, y of pairs (a, b) and (b, a)."""
+    turned = F.array(F.struct(F.col(a).alias(x), F.col(b).alias(y)), F.struct(F.col(b).alias(x), F.col(a).alias(y)))
+    return pairs.select(F.explode(turned).alias("p")).select(f"p.{x}", f"p.{y}").distinct()
+
+
+def _word_cell(word: str) -> Column:
+    return F.xxhash64(F.lit("word"), F.col(word))
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        if not self.rounds:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{what}/{r}" for r in range(self.rounds)])
 
-    def names(self) -> DataFrame:
-        return self._read("names", "name string, cell string, vec binary")
+def _set_cell(letters: str) -> Column:
+    return F.xxhash64(F.lit("letters"), F.col(letters))
+
+
+#: The index's tables. cells and forms lie in files by the number of their cell.
+_TABLES = {
+    "kinds": _KIND,
+    "names": "name string",
+    "links": "q string, name string",
+    "words": "word string, n bigint",
+    "near_words": "word string, other string",
+    "forms": "word string, key bigint, cell int",
+    "cells": "name string, " + ", ".join(f"{c} bigint" for c in VECTOR) + ", key bigint, cell int",
+}
+
+
+class OfferIndex:
+    """The accepted offers, persisted under a folder that all executors share: names in vector cells, and every kind (offers that are read alike) with its earliest offer and the first_id it was resolved to.
+
+    A folder that holds an index already is opened as it was left; cells applies to a new one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, cells: int = CELLS) -> None:
+        self.spark, self.path = spark, path or scratch_path(spark, "offers")
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.state: dict = {"version": 0, "batches": 0, "cells": cells, "tables": {t: [] for t in _TABLES}}
+        folder = self._path("manifest")
+        if self._fs.exists(folder):
+            versions = [int(f.getPath().getName()[:-5]) for f in self._fs.listStatus(folder) if f.getPath().getName().endswith(".json")]
+            if versions:
+                text = spark.read.text(f"{self.path}/manifest/{max(versions):09d}.json", wholetext=True).first()[0]
+                self.state = json.loads(text)
+        self.cells_read: dict[str, int] = {}
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _commit(self, state: dict) -> None:
+        """The manifest appears whole or not at all: it is written beside its place and renamed."""
+        state["version"] += 1
+        name = f"manifest/{state['version']:09d}.json"
+        out = self._fs.create(self._path(name + ".new"), True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self._fs.rename(self._path(name + ".new"), self._path(name)):
+            raise RuntimeError(f"another writer has changed the index {self.path}")
+        self.state = state
+
+    def _read(self, what: str) -> DataFrame:
+        """A table of the index, of all batches accepted."""
+        folders = [f[0] for f in self.state["tables"][what]]
+        if not folders:
+            return self.spark.createDataFrame([], _TABLES[what])
+        return self._folders(what, folders)
+
+    def _folders(self, what: str, folders: list[str]) -> DataFrame:
+        base, columns = f"{self.path}/{what}", [c.split()[0] for c in _TABLES[what].split(", ")]
+        return self.spark.read.option("basePath", base).schema(_TABLES[what]).parquet(*[f"{base}/folder={f}" for f in folders]).select(columns)
+
+    def _write(self, df: DataFrame, what: str, folder: str) -> DataFrame:
+        to = f"{self.path}/{what}/folder={folder}"
+        if what in ("cells", "forms"):
+            df = df.withColumn("cell", F.pmod("key", F.lit(self.state["cells"])).cast("int")).repartition("cell")
+            df.write.mode("overwrite").partitionBy("cell").parquet(to)
+        else:
+            df.write.mode("overwrite").parquet(to)
+        return self._folders(what, [folder])
+
+    def _probed(self, what: str, keys: DataFrame) -> DataFrame:
+        """The rows of the cells in which the keys lie; files of other cells are not read. There are at most as many numbers as cells."""
+        if not self.state["tables"][what]:
+            return self._read(what)
+        numbers = [r[0] for r in keys.select(F.pmod("key", F.lit(self.state["cells"])).cast("int")).distinct().collect()]
+        self.cells_read[what] = len(numbers)
+        return self._read(what).where(F.col("cell").isin(numbers))
 
     def kinds(self) -> DataFrame:
-        return self._read("kinds", _KIND)
+        return self._read("kinds")
+
+    def _learn_words(self, names: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+        """Adds the words of new names: their counts, their keys, and which words lie within two edits. Returns counts and near words of old and new."""
+        counts = self._write(names.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words", folder)
+        fresh = counts.join(self._read("words").select("word").distinct(), "word", "left_anti")
+        keyed = cut(_keyed(fresh))
+        kept = self._write(keyed.select("word", F.explode("kept").alias("k")).select("word", F.xxhash64("k").alias("key")), "forms", folder)
+        sought = keyed.select(F.col("word").alias("a"), F.explode("sought").alias("k")).select("a", F.xxhash64("k").alias("key"))
+        known = self._probed("forms", sought).select("word", "key").unionByName(kept.select("word", "key"))
+        pairs = sought.join(known, "key").where("a <> word").select("a", "word").distinct().where(_near_words("a", "word"))
+        near = self._write(_both_ways(pairs, "a", "word", "word", "other"), "near_words", folder)
+        return self._read("words").unionByName(counts), self._read("near_words").unionByName(near)
+
+    def _search(self, names: DataFrame, counts: DataFrame, near_words: DataFrame, folder: str) -> DataFrame:
+        """q, name of every new name and every other one, old or new, that same_words accepts; appends the new names to the cells."""
+        each = names.select("name", F.explode("words").alias("word"))
+        n = counts.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+        order = Window.partitionBy("name").orderBy("n", "word")
+        rare = each.join(n, "word").withColumn("k", F.row_number().over(order)).where("k <= 2").select("name", "word", "k")
+        alike = rare.where("k = 1").join(near_words, "word").select("name", F.col("other").alias("word"))
+        probes = rare.select("name", "word").unionByName(alike).select("name", _word_cell("word").alias("key"))
+        probes = probes.unionByName(names.select("name", F.explode("sets").alias("s")).select("name", _set_cell("s").alias("key"))).distinct()
+        probes = cut(probes.join(names.select("name", *VECTOR), "name").select(F.col("name").alias("q"), "key", *[F.col(c).alias(f"q_{c}") for c in VECTOR]))
+        words = names.select("name", *VECTOR, F.explode("words").alias("w")).select("name", *VECTOR, _word_cell("w").alias("key"))
+        sets = names.select("name", *VECTOR, F.explode("sets").alias("s")).select("name", *VECTOR, _set_cell("s").alias("key"))
+        own = self._write(words.unionByName(sets), "cells", folder)
+        members = self._probed("cells", probes).unionByName(own).select("name", "key", *VECTOR)
+        met = probes.join(members, "key").where((F.col("q") != F.col("name")) & within("q_", "")).select("q", "name").distinct()
+        return met.where(_same_words("q", "name"))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """first_id, offer_id of every offer of the batch that repeats one accepted before or with a smaller id in the batch; then appends what is new.
 
         offer_id rises with arrival. Empty batches, repeated rows, null titles, descriptions and hashes are allowed; other columns are ignored.
+        A batch that is given again gives the same rows and adds nothing.
         """
         attrs = ["name", "age", "ing", "w", "v", "n", "b", "bag"]
         parts = [x for c in attrs for x in (F.col(c).isNull(), F.col(c))]
+        state = json.loads(json.dumps(self.state))
+        folder = f"b{state['batches']}"
         offers = cut(read_offers(batch).withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(2), *parts)}))
         known_kinds = self.kinds()
         # a kind that came before is resolved already
         kinds = cut(offers.groupBy("k1", "k2", *attrs).agg(F.min("offer_id").alias("offer_id")).join(known_kinds.select("k1", "k2"), ["k1", "k2"], "left_anti"))
-        new_names = cut(kinds.select("name").distinct().join(self.names().select("name"), "name", "left_anti"))
-        known = self.known_names
-        fresh = new_names.count()
-        vec = F.pandas_udf(lambda s: s.map(lambda n: np.packbits(vector(n).astype(bool)).tobytes()), "binary")
-        own = cut(new_names.select("name", F.col("name").alias("cell"), vec("name").alias("vec")))
-        size = lambda n: max(1, -(-n // BLOCK))
-        near = _probe(own, own, size(fresh), size(fresh))
-        if known:
-            near = near.unionByName(_probe(new_names, self.names(), size(known), size(fresh)))
-        near = cut(near)
-        # a new name joins the nearest old cell within reach, else it is a cell of its own
-        joins = near.join(new_names.select(F.col("name").alias("cell")), "cell", "left_anti").where(F.col("to_centre") <= CELL).groupBy("q").agg(F.min_by("cell", F.struct("to_centre", "cell")).alias("old"))
-        placed = own.join(joins, own["name"] == joins["q"], "left").select("name", F.coalesce("old", "cell").alias("cell"), "vec")
-        near = near.select("q", "name")
+        names = cut(read_names(kinds.select("name").distinct().join(self._read("names"), "name", "left_anti")))
+        written = self._write(names.select("name"), "names", folder)
+        counts, near_words = self._learn_words(names, folder)
+        near = self._search(names, counts, near_words, folder)
         # names that are known already have their neighbours of before; new ones link both ways
-        links = near.unionByName(near.select(F.col("name").alias("q"), F.col("q").alias("name"))).distinct()
+        links = self._write(_both_ways(near, "q", "name", "q", "name"), "links", folder)
         mine = kinds.select("name").distinct()
-        old = mine.join(new_names, "name", "left_anti")
-        earlier = self._read("links", "q string, name string").join(old.select(F.col("name").alias("q")), "q", "left_semi") if self.rounds else self.spark.createDataFrame([], "q string, name string")
-        sim = cut(links.unionByName(earlier).unionByName(mine.select(F.col("name").alias("q"), "name")).distinct())
+        earlier = self._read("links").join(mine.join(written, "name", "left_anti").select(F.col("name").alias("q")), "q", "left_semi")
+        sim = links.unionByName(earlier).unionByName(mine.select(F.col("name").alias("q"), "name")).distinct()
         x = kinds.select(*[F.col(c).alias(f"x_{c}") for c in ["offer_id", *attrs]])
         y = known_kinds.select("offer_id", *attrs, "first_id").unionByName(kinds.select("offer_id", *attrs, F.col("offer_id").alias("first_id")))
         pairs = x.join(sim, F.col("x_name") == F.col("q")).join(y, "name").where(F.col("offer_id") < F.col("x_offer_id"))
@@ -291,24 +429,43 @@ class OfferIndex:
         found = cut(match.groupBy("x_offer_id").agg(F.min_by("first_id", F.struct(rank, "offer_id")).alias("first")))
         while True:  # the first of a kind that is itself a repeat within the batch
             nxt = found.select(F.col("x_offer_id").alias("first"), F.col("first").alias("further"))
-            found = cut(found.join(nxt, "first", "left").select("x_offer_id", F.coalesce("further", "first").alias("first"), F.col("further").isNotNull().alias("moved")))
-            if not found.where("moved").head(1):
+            if not found.join(nxt, "first", "left_semi").head(1):
                 break
-            found = found.drop("moved")
-        found = found.select("x_offer_id", "first")
-        settled = cut(kinds.join(found, kinds["offer_id"] == found["x_offer_id"], "left").withColumn("first_id", F.coalesce("first", "offer_id")).select("offer_id", *attrs, "k1", "k2", "first_id"))
-        r = self.rounds
+            found = cut(found.join(nxt, "first", "left").select("x_offer_id", F.coalesce("further", "first").alias("first")))
+        settled = kinds.join(found, kinds["offer_id"] == found["x_offer_id"], "left").withColumn("first_id", F.coalesce("first", "offer_id")).select("offer_id", *attrs, "k1", "k2", "first_id")
+        settled = self._write(settled, "kinds", folder)
         resolved = settled.unionByName(known_kinds).select("k1", "k2", "first_id")
         out = cut(offers.select("k1", "k2", "offer_id").join(resolved, ["k1", "k2"]).where("first_id < offer_id").select("first_id", "offer_id").distinct())
-        settled.write.mode("overwrite").parquet(f"{self.path}/kinds/{r}")
-        placed.write.mode("overwrite").parquet(f"{self.path}/names/{r}")
-        links.write.mode("overwrite").parquet(f"{self.path}/links/{r}")
-        self.rounds += 1
-        self.known_names += fresh
+        for t in _TABLES:
+            state["tables"][t].append([folder, 0])
+        state["batches"] += 1
+        self._commit(state)
+        self._merge()
         return out
 
-
-def deduplicate(offers: DataFrame, index: OfferIndex, batch: str = "batch_no", per_round: int = BATCHES_PER_ROUND) -> DataFrame:
+    def _merge(self) -> None:
+        """FAN_IN folders of one size become one of the next, so that few are read however many batches came; a row is rewritten as often as the number has digits in that base."""
+        state = json.loads(json.dumps(self.state))
+        for t, folders in state["tables"].items():
+            while len(last := folders[-FAN_IN:]) == FAN_IN and len({size for _, size in last}) == 1:
+                size = last[0][1] + 1
+                name = f"{last[-1][0]}-{size}"
+                self._write(self._folders(t, [f for f, _ in last]), t, name)
+                folders[-FAN_IN:] = [[name, size]]
+        if state != self.state:
+            self._commit(state)
+
+    def vacuum(self) -> None:
+        """Deletes folders that the newest manifest doesn't name. Rows that add has returned stay readable; DataFrames read from the index before may not."""
+        for t, folders in self.state["tables"].items():
+            keep = {f"folder={f}" for f, _ in folders}
+            if self._fs.exists(self._path(t)):
+                for f in self._fs.listStatus(self._path(t)):
+                    if f.getPath().getName() not in keep:
+                        self._fs.delete(f.getPath(), True)
+
+
+def deduplicate(offers: DataFrame, index: OfferIndex, batch: str = "batch_no", per_round: int = 1) -> DataFrame:
     """first_id, offer_id of every repeat, batch after batch in order of their numbers; offers of no batch come last."""
     numbers = sorted({r[0] for r in offers.select(batch).distinct().collect() if r[0] is not None})  # as many as there are batches
     parts = [offers.where(F.col(batch).isin(numbers[at : at + per_round])) for at in range(0, len(numbers), per_round)]

@@ -1,6 +1,9 @@
 import numpy as np
+import pytest
 
-from sparkmill.llm.offers import OfferIndex, _probe, deduplicate, radius, read_offer, same_words, vector
+from sparkmill.llm import offers
+from sparkmill.llm.offers import LETTERS_APART, LETTER_BITS, TRIGRAMS_APART, OfferIndex, deduplicate, letter_sets, read_names, read_offer, same_words, vector, word_keys
+from sparkmill.session import cut, scratch_path
 
 SCHEMA = "offer_id int, batch_no int, title string, description string, content_hash string, name string"
 T = "Conserva pt. pisici Vohind Ginund Stekutam Jestos Adult bogat in curcan 156 grame"
@@ -27,20 +30,50 @@ def test_empty(spark):
     assert found(spark, []) == []
 
 
+def slipped(word, rng):
+    i = int(rng.integers(max(1, len(word) - 1)))
+    return [word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :], word[:i] + "q" + word[i + 1 :], word[:i] + word[i + 1 :], word[:i] + "z" + word[i:]][int(rng.integers(4))]
+
+
+def slipped_names(rng):
+    """Names with up to four slips in random words, words joined, parted and added; one-word names and very long words among them."""
+    names = {"gold", "gold pezis", "pezis", "ab", "abcdefghijk", "abcdef ghijk", "abcd efghijk", "", "vohind x9", "#ab", "#ac", "pezisor", "pezsor", "x" * 300, "x" * 298 + "y", "ab" * 9}
+    for base in ["ginund jestos stekutam vohind", "bavlinos fudrus vubram", "clutik guces", "vohindaru", "hono ruvlix zetra", "abracadabrantesque" * 2 + " hono", "gold vet natura pro select"]:
+        for _ in range(40):
+            words = base.split()
+            for _ in range(int(rng.integers(1, 5))):
+                k = int(rng.integers(len(words)))
+                words[k] = slipped(words[k], rng)
+            if rng.random() < 0.2 and len(words) > 1:
+                words[:2] = ["".join(words[:2])]
+            if rng.random() < 0.1 and len(words[0]) > 4:
+                words[:1] = [words[0][:3], words[0][3:]]
+            if rng.random() < 0.1:
+                words.append("15kg")
+            names.add(" ".join(sorted(w for w in words if w)))
+    return sorted(names)
+
+
 def test_bounds_hold():
-    rng = np.random.default_rng(1)
-    names = ["ginund jestos stekutam vohind", "bavlinos fudrus vubram", "clutik guces hono ruvlix"]
-    for n in names:
+    names = slipped_names(np.random.default_rng(1))
+    alike = [(a, b) for a in names for b in names if a < b and same_words(a, b)]
+    assert len(alike) > 500 and all(same_words(b, a) for a, b in alike)
+    for a, b in alike:
+        d = vector(a) != vector(b)
+        assert d[:LETTER_BITS].sum() <= LETTERS_APART and d[LETTER_BITS:].sum() <= TRIGRAMS_APART
+    assert not same_words("ginund jestos stekutam vohind", "bavlinos fudrus vubram") and not same_words("#ab", "#ac") and not same_words("", "ab")
+
+
+def test_words_within_two_edits_share_a_key():
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefgh"))
+    for n in list(range(1, 24)) + [40, 200]:
         for _ in range(60):
-            s = list(n)
-            for _ in range(2):
-                k = int(rng.integers(1, len(s) - 1))
-                if s[k] != " ":
-                    s[k] = "q" if rng.random() < 0.5 else ""
-            m = "".join(s)
-            if same_words(n, m):
-                assert np.linalg.norm(vector(n) - vector(m)) <= radius(n)
-    assert not same_words(names[0], names[1]) and not same_words("#ab", "#ac")
+            w = "".join(rng.choice(letters, n))
+            v = slipped(slipped(w, rng), rng)
+            assert set(word_keys(w)[0]) & set(word_keys(v)[1]) and set(word_keys(v)[0]) & set(word_keys(w)[1]), (w, v)
+            assert set(letter_sets(w)) & set(letter_sets(slipped(w, rng)))
+    assert len(word_keys("x" * 5000)[1]) < 200
 
 
 def test_reading():
@@ -49,28 +82,74 @@ def test_reading():
     assert read_offer(None, None)[0] == ""
 
 
-def test_probe_finds_what_brute_force_finds(spark):
-    rng = np.random.default_rng(2)
-    names = {"gold", "gold pezis", "pezis", "ab", "abcdefghijk", "abcdef ghijk", "abcd efghijk", "", "vohind x9"}
-    for base in ["ginund jestos stekutam vohind", "bavlinos fudrus vubram", "clutik guces", "vohindaru", "hono ruvlix zetra"]:
-        for _ in range(40):
-            words = base.split()
-            for _ in range(int(rng.integers(1, 4))):  # slips in up to three words
-                k = int(rng.integers(len(words)))
-                w, i = words[k], int(rng.integers(len(words[k]) - 1))
-                words[k] = [w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "q" + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + "z" + w[i:]][int(rng.integers(4))]
-            if rng.random() < 0.2 and len(words) > 1:
-                words[:2] = ["".join(words[:2])]
-            names.add(" ".join(sorted(words)))
-    names = sorted(names)
-    want = {(a, b) for a in names for b in names if same_words(a, b)}
-    q = spark.createDataFrame([(n,) for n in names], "name string")
-    # a third of the names as members of another's cell
-    cell = {n: names[max(0, k - 1)] if k % 3 == 2 else n for k, n in enumerate(names)}
-    m = spark.createDataFrame([(n, cell[n], bytearray(np.packbits(vector(n).astype(bool)).tobytes())) for n in names], "name string, cell string, vec binary")
-    got = {(r["q"], r["name"]) for r in _probe(q, m, 1, 1).collect()}
-    assert got == want and len(want) > 500
-    assert all(np.linalg.norm(vector(a) - vector(b)) <= radius(a) for a, b in want)
+def linked(spark, index, names):
+    """The links that the index finds when names come as a batch of their own."""
+    folder = f"b{len(index.state['tables']['names'])}"
+    read = cut(read_names(spark.createDataFrame([(n,) for n in names], "name string")))
+    index._write(read.select("name"), "names", folder)
+    near = cut(index._search(read, *index._learn_words(read, folder), folder))
+    index._write(near, "links", folder)
+    for t in ("names", "links", "words", "near_words", "forms", "cells"):
+        index.state["tables"][t].append([folder, 0])
+    return {(r["q"], r["name"]) for r in near.collect()}
+
+
+@pytest.mark.parametrize("seed, parts", [(2, 1), (3, 3)])
+def test_cells_hold_what_brute_force_finds(spark, seed, parts):
+    rng = np.random.default_rng(seed)
+    names = [str(n) for n in rng.permutation(slipped_names(rng))]
+    index = OfferIndex(spark)
+    got = set()
+    for k in range(parts):
+        got |= linked(spark, index, names[k::parts])
+    want = {(a, b) for a in names for b in names if a != b and same_words(a, b)}
+    assert len(want) > 1000
+    assert got | {(b, a) for a, b in got} == want
+
+
+def test_hot_words_are_left_alone(spark):
+    """Names that share a word with all others are found without meeting them: only cells of rare words are probed."""
+    rng = np.random.default_rng(5)
+    names = sorted({f"hono {''.join(rng.choice(list('abcdefghijklmnop'), 9))} clutik" for _ in range(3000)})
+    index = OfferIndex(spark)
+    read = cut(read_names(spark.createDataFrame([(" ".join(sorted(n.split())),) for n in names], "name string")))
+    counts, near = index._learn_words(read, "b0")
+    assert index._search(read, counts, near, "b0").count() <= 10
+
+
+def test_opened_again(spark, tmp_path):
+    path = "file://" + str(tmp_path / "index")
+    rows = [(1, 1, T, D, "h1"), (2, 1, T.replace("Stekutam Jestos", "Flokosk Skasurart"), D, None)]
+    more = [(3, 2, T.replace("Vohind", "Voihnd"), None, None), (4, 2, T.replace("156", "185"), D, None)]
+    frame = lambda r: spark.createDataFrame([(*x, "x") for x in r], SCHEMA)
+    pairs = lambda d: sorted((r["first_id"], r["offer_id"]) for r in d.collect())
+    assert pairs(OfferIndex(spark, path, cells=256).add(frame(rows))) == []
+    again = OfferIndex(spark, path)
+    assert again.state["batches"] == 1 and again.state["cells"] == 256
+    assert pairs(again.add(frame(more))) == [(1, 3)]
+    assert pairs(OfferIndex(spark, path).add(frame(more))) == [(1, 3)]  # given again
+    third = OfferIndex(spark, path)
+    assert third.kinds().count() == 4 and pairs(third.add(frame([(9, 3, T, D, None)]))) == [(1, 9)]
+
+
+def test_a_small_batch_reads_few_cells(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    index = OfferIndex(spark, cells=256)
+    linked(spark, index, [f"{word()} {word()} {word()}" for _ in range(500)])
+    linked(spark, index, ["abcdabcd efghefgh ijklijkl"])
+    assert index.cells_read["cells"] <= 20 and index.cells_read["forms"] <= 128
+
+
+def test_folders_are_merged(spark):
+    index = OfferIndex(spark)
+    rows = [(i, i, T if i % 3 else T.replace("156", "185"), D, None) for i in range(1, offers.FAN_IN + 3)]
+    frame = lambda r: spark.createDataFrame([(*x, "x") for x in r], SCHEMA)
+    got = {(r["first_id"], r["offer_id"]) for x in rows for r in index.add(frame([x])).collect()}
+    assert got == {(3 if i % 3 == 0 else 1, i) for i in range(1, offers.FAN_IN + 3) if i not in (1, 3)}
+    assert all(len(f) == 3 for f in index.state["tables"].values()) and index.kinds().count() == 2
+    index.vacuum()
+    assert OfferIndex(spark, index.path).kinds().count() == 2
 
 
 def test_any_grouping_of_batches_gives_the_same_rows(spark):
