@@ -45,6 +45,8 @@ VECTOR = [f"v{i}" for i in range((LETTER_BITS + DIMENSIONS) // 64)]
 LETTERS_APART, TRIGRAMS_APART = 3 * 2, 2 * 8 + 4 * 4
 #: Edits in a word, swaps counted once. Words up to SHORT letters meet by what is left without as many letters, longer ones by their pieces.
 WORD_EDITS, SHORT, PIECES = 2, 16, 5
+#: Offers that a round of waiting batches holds at least, where there are so many.
+ROUND_OFFERS = 40_000
 #: Files of the cells in a folder of the index; folders of one size that are merged into one.
 CELLS, FAN_IN = 8, 4
 
@@ -465,13 +467,29 @@ class OfferIndex:
                         self._fs.delete(f.getPath(), True)
 
 
-def deduplicate(offers: DataFrame, index: OfferIndex, batch: str = "batch_no", per_round: int = 1) -> DataFrame:
-    """first_id, offer_id of every repeat, batch after batch in order of their numbers; offers of no batch come last."""
-    numbers = sorted({r[0] for r in offers.select(batch).distinct().collect() if r[0] is not None})  # as many as there are batches
-    parts = [offers.where(F.col(batch).isin(numbers[at : at + per_round])) for at in range(0, len(numbers), per_round)]
-    rest = offers.where(F.col(batch).isNull())
+def rounds(sizes: dict[int, int], least: int) -> list[list[int]]:
+    """Batch numbers in order, in rounds that end once they hold so many offers; a batch is never parted."""
+    out: list[list[int]] = []
+    held = least
+    for n in sorted(sizes):
+        if held >= least:
+            out.append([])
+            held = 0
+        out[-1].append(n)
+        held += sizes[n]
+    return out
+
+
+def deduplicate(offers: DataFrame, index: OfferIndex, batch: str = "batch_no", round_offers: int = ROUND_OFFERS) -> DataFrame:
+    """first_id, offer_id of every repeat, batch after batch in order of their numbers; offers of no batch come last.
+
+    Small batches that wait together are taken in one round, which changes the cost but no row; a batch of round_offers or more is a round of its own.
+    """
+    sizes = {r[0]: r[1] for r in offers.groupBy(batch).count().collect()}  # as many as there are batches
+    rest = sizes.pop(None, 0)
+    parts = [offers.where(F.col(batch).isin(r)) for r in rounds(sizes, round_offers)]
     out = None
-    for part in parts + ([rest] if rest.head(1) else []):
+    for part in parts + ([offers.where(F.col(batch).isNull())] if rest else []):
         found = index.add(part)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else offers.select(F.col("offer_id").alias("first_id"), "offer_id").limit(0)

@@ -22,8 +22,13 @@ def test_repeats_over_batches(spark):
         (10, 5, T.replace("156", "185") + " NOU!", None, None), (11, 5, None, None, None), (12, 6, None, None, None), (13, 6, None, D, "h9"), (14, None, "", None, "h9"), (15, 2, "x " * 20_000, None, None),
     ]
     want = [(1, 2), (1, 3), (1, 7), (1, 8), (4, 10), (13, 14)]
-    assert found(spark, rows, per_round=1) == want
-    assert found(spark, rows, per_round=10) == want
+    assert found(spark, rows, round_offers=1) == want
+    assert found(spark, rows, round_offers=100) == want
+
+
+def test_rounds():
+    assert offers.rounds({3: 5, 1: 5, 2: 1, 4: 20, 5: 1}, 6) == [[1, 2], [3, 4], [5]]
+    assert offers.rounds({1: 9, 2: 9}, 6) == [[1], [2]] and offers.rounds({}, 6) == []
 
 
 def test_empty(spark):
@@ -156,5 +161,5 @@ def test_any_grouping_of_batches_gives_the_same_rows(spark):
     cut_off = T[: T.index(" 156")]
     other = "Hrana umeda pisici Vohind Ginund Jestos Stekutam curcan adult 156 g"
     rows = [(1, 1, cut_off, D, None), (2, 2, T, D, None), (3, 3, other, D, None), (4, 4, other + " NOU!", D, None), (5, 5, T, D, None), (6, 5, other, D, None)]
-    got = [found(spark, rows, per_round=k) for k in (1, 2, 10)]
+    got = [found(spark, rows, round_offers=k) for k in (1, 2, 100)]
     assert got[0] == [(1, k) for k in range(2, 7)] and all(g == got[0] for g in got)
