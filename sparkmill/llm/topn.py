@@ -1,9 +1,8 @@
 """The N best items of every group (problem 5), by partition lower bounds.
 
-Each partition's N-th best item is a bound that the N-th best of the whole group
-cannot fall below. Every partition first keeps its own N best of each
-group, so that a group of millions shuffles at most N rows a batch; the greatest bound of each
-group is joined to these, rows under it are dropped, and the survivors are ranked.
+Each partition's N-th best item is a bound that the N-th best of the whole group cannot fall below, so the partition drops
+its rows under its own bound before anything is shuffled: of a group of millions at most N rows a partition move. The one exchange is by group; there the
+greatest bound of all partitions meets the group's rows, drops those under it, and the survivors are ranked.
 """
 
 from __future__ import annotations
@@ -38,7 +37,8 @@ def _local_best(d: pd.DataFrame, n: int) -> pd.DataFrame:
     out = d.iloc[order[kept]].copy()
     size = np.repeat(np.diff(np.r_[start, len(a)]), np.diff(np.r_[start, len(a)]))
     nth = np.repeat(s[np.minimum(start + n - 1, len(a) - 1)] if len(a) else s, np.diff(np.r_[start, len(a)]))
-    out["bound"] = np.where(size >= n, nth, np.nan)[kept]
+    out["bound"] = pd.array(np.where(size >= n, nth, 0.0)[kept], dtype="Float64")
+    out.loc[(size < n)[kept], "bound"] = pd.NA
     return out
 
 
@@ -71,8 +71,8 @@ def top_n(rows: DataFrame, group_id: str, group_name: str, item: str, score: str
             yield _local_best(pd.concat(held, ignore_index=True), n)
 
     local = r.mapInPandas(keep, f"a {kinds['a']}, b {kinds['b']}, item {kinds['item']}, score double, bound double")
-    linked = local.groupBy("a", "b", "item").agg(F.max("score").alias("score"), F.max(F.nanvl("bound", F.lit(None).cast("double"))).alias("bound"))
-    # the greatest bound of the group: a window is a join of each row with its group's aggregate
+    # one exchange by the group serves the repeated items, the bound and the ranks; a group is at most n rows a partition
+    linked = local.repartition("a", "b").groupBy("a", "b", "item").agg(F.max("score").alias("score"), F.max("bound").alias("bound"))
     whole = Window.partitionBy("a", "b")
     bounded = linked.withColumn("bound", F.max("bound").over(whole)).where("bound IS NULL OR score >= bound")
     pos = F.row_number().over(whole.orderBy(F.desc("score"), F.asc("item")))
