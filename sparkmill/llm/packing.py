@@ -1,10 +1,9 @@
 """Filling containers of fixed capacity (problem 9) by swap-based local search.
 
-Items go to shards by a hash of their key. A shard is filled best-fit in
-descending order; then the search moves items and exchanges one for one and two for one between its
-underfull containers, each step raising the sum of squared fills, until containers empty. Containers
-filled to the brim are done; the items of the others go into fewer, larger
-rounds until one shard holds them, so that the shards together waste no more than one shard would.
+Items go to shards by a hash of their key. A shard is filled best-fit in descending order; then the search moves items and
+exchanges one for one and two for one between any of its underfull containers, each step raising the sum of squared fills, until containers
+empty and no step is left. Of a shard's containers the fuller half and all full ones are done; the items of the others go
+into a further round of as many shards as they need, so that a task never holds more than a shard, and the shards together waste hardly more than one would.
 """
 
 from __future__ import annotations
@@ -21,9 +20,7 @@ from sparkmill.session import cut, table
 
 CAPACITY = 2048
 #: Items in a shard, on average; a shard is one task's work.
-SHARD_ITEMS = 20_000
-#: Underfull containers that the local search works on at a time, and its rounds.
-SEARCH_BINS, SEARCH_ROUNDS = 60, 200
+SHARD_ITEMS = 10_000
 
 
 def best_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
@@ -43,53 +40,74 @@ def best_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: Sequence[int], capacity: int) -> list[list[int]]:
-    """The local search. Each step raises the sum of squared fills, so it ends."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(SEARCH_ROUNDS):
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))[:SEARCH_BINS]
-        if len(under) < 2 or len([b for b in range(len(bins)) if bins[b]]) <= -(-sum(fill) // capacity):
-            break
+class _Search:
+    """The local search over one shard. Sizes of single items, and of two items of a container, are kept in order, so that the best that fits is found by bisection whatever the number of containers."""
+
+    def __init__(self, bins: list[list[int]], sizes: Sequence[int], capacity: int) -> None:
+        self.sizes, self.capacity = sizes, capacity
+        self.bins = [set(b) for b in bins]
+        self.fill = [sum(sizes[i] for i in b) for b in bins]
+        self.home = {i: b for b, held in enumerate(bins) for i in held}
+        self.least = -(-sum(self.fill) // capacity)
+        self.used = sum(1 for b in bins if b)
+
+    def run(self) -> list[list[int]]:
+        while self.used > self.least and self._sweep():
+            pass
+        return [sorted(b) for b in self.bins if b]
+
+    def _sweep(self) -> bool:
+        """Offers every underfull container, the fullest first, the best steps that it can take. Whether there was any."""
+        under = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], b))
+        ones = sorted((self.sizes[i], i) for b in under for i in self.bins[b])
+        twos = []
+        for b in under:
+            first = {self.sizes[i]: i for i in sorted(self.bins[b], reverse=True)}  # different sizes of a container: few, as they add up to the capacity at most
+            kinds = sorted(first)
+            twos += [(x + y, first[x], first[y]) for k, x in enumerate(kinds) for y in kinds[:k]]
+        twos.sort()
         changed = False
-        for a in under:  # a gives, the fuller b receives
-            for b in reversed(under):
-                if a == b or not bins[a] or fill[b] < fill[a]:
-                    continue
-                room = capacity - fill[b]
-                if not room:
-                    continue
-                give = _exchange(bins[a], bins[b], sizes, room)
-                if give:
-                    out, back = give
-                    d = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-                    bins[a] = [i for i in bins[a] if i not in out] + list(back)
-                    bins[b] = [i for i in bins[b] if i not in back] + list(out)
-                    fill[a] -= d
-                    fill[b] += d
-                    changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _exchange(a: list[int], b: list[int], sizes: Sequence[int], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What a gives and takes so that b gains most, at most room: a move, one for one, or two for one."""
-    best, gain = None, 0
-    for i in a:
-        if gain < sizes[i] <= room:
-            best, gain = ((i,), ()), sizes[i]
-    if gain == room:
+        for b in under:
+            while self.bins[b] and self.fill[b] < self.capacity and (step := self._best(b, ones, twos)):
+                self._take(b, *step)
+                changed = True
+                if self.used <= self.least:
+                    return True
+        return changed
+
+    def _best(self, b: int, ones: list, twos: list) -> tuple[int, tuple[int, ...], int | None] | None:
+        """The giver, what b gets and what it gives back for it: of all moves and exchanges that raise the squares, the one that fills b most."""
+        best, gain, room = None, 0, self.capacity - self.fill[b]
+        backs = [(0, None)] + sorted((self.sizes[j], j) for j in self.bins[b])
+        for size, j in backs:
+            for table in (ones, twos) if j is not None else (ones,):
+                k = bisect_left(table, (size + room + 1,)) - 1
+                while k >= 0 and (d := table[k][0] - size) > gain:
+                    got = table[k][1:]
+                    a = self.home[got[0]]
+                    # the squares rise if b ends fuller than the giver was
+                    if a != b and (len(got) == 1 or self.home[got[1]] == a) and self.fill[b] + d > self.fill[a]:
+                        best, gain = (a, got, j), d
+                        break
+                    k -= 1
+                if gain == room:
+                    return best
         return best
-    back = sorted((sizes[j], j) for j in b)
-    outs = [(sizes[i], (i,)) for i in a] + [(sizes[a[x]] + sizes[a[y]], (a[x], a[y])) for x in range(min(len(a), 40)) for y in range(x)]
-    for s, out in outs:
-        # the smallest item of b that makes room: gain = s - size, at most room
-        k = bisect_left(back, (s - room, -1))
-        if k < len(back) and (g := s - back[k][0]) > gain:
-            best, gain = (out, (back[k][1],)), g
-            if gain == room:
-                break
-    return best
+
+    def _take(self, b: int, a: int, got: tuple[int, ...], back: int | None) -> None:
+        for i, x, y in [(i, a, b) for i in got] + ([(back, b, a)] if back is not None else []):
+            self.bins[x].discard(i)
+            self.bins[y].add(i)
+            self.fill[x] -= self.sizes[i]
+            self.fill[y] += self.sizes[i]
+            self.home[i] = y
+        if not self.bins[a]:
+            self.used -= 1
+
+
+def improve(bins: list[list[int]], sizes: Sequence[int], capacity: int) -> list[list[int]]:
+    """The local search from the given containers. Each step raises the sum of squared fills, so it ends."""
+    return _Search(bins, sizes, capacity).run()
 
 
 def pack_list(sizes: Sequence[int], capacity: int) -> list[list[int]]:
@@ -97,14 +115,15 @@ def pack_list(sizes: Sequence[int], capacity: int) -> list[list[int]]:
 
 
 def _solver(capacity: int, round_no: int, last: bool):
-    """Packs a shard and names its finished containers: the full ones, in the last round all."""
+    """Packs a shard and names its finished containers: the full ones and the fuller half, in the last round all."""
 
     def solve(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(["size", "key", "piece"], ascending=[False, True, True], ignore_index=True)
         sizes = d["size"].tolist()
         names = [""] * len(sizes)
-        for k, b in enumerate(pack_list(sizes, capacity)):
-            if last or sum(sizes[i] for i in b) == capacity:
+        bins = sorted(pack_list(sizes, capacity), key=lambda b: (-sum(sizes[i] for i in b), b))
+        for k, b in enumerate(bins):
+            if last or 2 * k < len(bins) or sum(sizes[i] for i in b) == capacity:
                 for i in b:
                     names[i] = f"r{round_no}-{d['shard'].iat[0]}-{k}"
         d["container"] = names
@@ -135,14 +154,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, shard_
     while n:
         shards = max(1, round(n / shard_items))
         last = shards == 1
-
         placed = todo.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_no), "key", "piece"), F.lit(shards)))
         placed = cut(placed.groupBy("shard").applyInPandas(_solver(capacity, round_no, last), "key string, piece int, size int, container string"))
         done.append(placed.where("container <> ''"))
         todo = placed.where("container = ''")
-        before, n, round_no = n, (0 if last else todo.count()), round_no + 1
-        if n > 0.7 * before:  # too little settled: larger shards
-            shard_items *= 2
+        n, round_no = (0 if last else todo.count()), round_no + 1
     for d in done:
         full = full.unionByName(d)
     return full.unionByName(empty).select(F.col("key").cast(kind).alias(key), "piece", "size", "container")
