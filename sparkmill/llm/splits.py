@@ -3,8 +3,8 @@
 Rows that share a node, directly or over other rows, form a component. The split starts
 from a hashed assignment of whole components and is improved by moving and
 exchanging whole components under simulated annealing, in many shards side by side, each with
-several seeds of which the best is kept. Components too large for a shard are placed
-first, jointly; there are at most shards * GIANT of them.
+several seeds of which the best is kept. Components too large for a shard are split first, in the same way among themselves, in
+fewer shards of their own: there are hundreds of times fewer of them, so this goes a few levels deep at most, and no component leaves the search.
 """
 
 from __future__ import annotations
@@ -141,24 +141,22 @@ def anneal(sizes: list[int], hists: list[dict], start: list[int], shares: Sequen
     return best / max(1.0, rows) ** 2, best_at
 
 
-def split_components(comps: DataFrame, shares: Sequence[float] = SHARES, names: Sequence[str] = SPLITS, seeds: int = 4, steps: int = 12_000) -> DataFrame:
+def split_components(comps: DataFrame, shares: Sequence[float] = SHARES, names: Sequence[str] = SPLITS, seeds: int = 4, steps: int = 12_000, shard_components: int = SHARD_COMPONENTS) -> DataFrame:
     """component, split for comps (component, rows, labels map<string,bigint>). Deterministic. An empty table gives no rows."""
     stats = comps.agg(F.count("*").alias("n"), F.sum("rows").alias("r")).first()
     if not stats["n"]:
         return comps.select("component", F.lit("").alias("split")).limit(0)
-    shards = max(1, round(stats["n"] / SHARD_COMPONENTS))
-    limit = max(1.0, stats["r"] / shards / GIANT)
-    giants = comps.where(F.col("rows") > limit).collect()  # at most shards * GIANT of them
-    order = sorted(giants, key=lambda g: (-g["rows"], str(g["component"])))
-    rest = stats["r"] - sum(g["rows"] for g in order)
-    free = [s * stats["r"] for s in shares]
-    placed = {}
-    for g in order:
-        p = max(range(len(shares)), key=lambda x: free[x])
-        placed[g["component"]] = p
-        free[p] -= g["rows"]
-    left = [max(0.0, f) for f in free]
-    want = [f / sum(left) for f in left] if rest and sum(left) else list(shares)
+    shards = max(1, round(stats["n"] / shard_components))
+    giants, placed, want = None, None, list(shares)
+    if shards > 1:
+        limit = max(1.0, stats["r"] / shards / GIANT)
+        giants = comps.where(F.col("rows") > limit)  # fewer than shards * GIANT
+        placed = cut(split_components(giants, shares, names, seeds, steps, shard_components))
+        comps = comps.where(F.col("rows") <= limit)
+        held = {r["split"]: r["r"] for r in placed.join(giants, "component").groupBy("split").agg(F.sum("rows").alias("r")).collect()}
+        # what the large ones have over or under their shares is made up for by the others
+        left = [max(0.0, s * stats["r"] - held.get(n, 0)) for s, n in zip(shares, names)]
+        want = [f / sum(left) for f in left] if sum(left) else want
     cuts = [sum(want[: i + 1]) for i in range(len(want))]
 
     def solve(d: pd.DataFrame) -> pd.DataFrame:
@@ -170,15 +168,11 @@ def split_components(comps: DataFrame, shares: Sequence[float] = SHARES, names:
         best = min(range(seeds), key=lambda s: (tries[s][0], s))
         return pd.DataFrame({"component": d["component"], "split": [names[p] for p in tries[best][1]]})
 
-    small = comps.where(F.col("rows") <= limit)
     u = F.pmod(F.xxhash64(F.lit("start"), "component"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    small = small.withColumns({"u": u, "shard": F.pmod(F.xxhash64(F.lit("shard"), "component"), F.lit(shards))})
+    sharded = comps.withColumns({"u": u, "shard": F.pmod(F.xxhash64(F.lit("shard"), "component"), F.lit(shards))})
     kind = dict(comps.dtypes)["component"]
-    solved = small.groupBy("shard").applyInPandas(solve, f"component {kind}, split string")
-    if placed:
-        big = comps.sparkSession.createDataFrame([(c, names[p]) for c, p in placed.items()], f"component {kind}, split string")
-        solved = solved.unionByName(big)
-    return solved
+    solved = sharded.groupBy("shard").applyInPandas(solve, f"component {kind}, split string")
+    return solved if placed is None else solved.unionByName(placed)
 
 
 def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +182,7 @@ def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(rows.withColumn("component", F.coalesce("component", F.concat(F.lit("row-"), F.coalesce("occurrence_id", F.lit(""))))))
     tiers = rows.groupBy("component", F.coalesce("tier", F.lit("")).alias("tier")).agg(F.count("*").alias("n"))
     comps = tiers.groupBy("component").agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("tier", "n"))).alias("labels"))
-    return rows.join(split_components(comps), "component").groupBy("occurrence_id", "component", "split").agg(F.count("*").alias("rows"))
+    return rows.join(split_components(cut(comps)), "component").groupBy("occurrence_id", "component", "split").agg(F.count("*").alias("rows"))
 
 
 P4_SQL = """

@@ -43,3 +43,32 @@ def test_annealing_never_ends_worse():
     best, at = anneal(sizes, hists, [0] * 6, (0.7, 0.15, 0.15), 1, 3000)
     assert best < first and len(at) == 6
     assert anneal([], [], [], (1.0,), 1, 10) == (0.0, [])
+
+
+def deviations(comps, got):
+    size, have = defaultdict(int), defaultdict(int)
+    total, labels = sum(c[1] for c in comps), defaultdict(int)
+    for c, n, h in comps:
+        size[got[c]] += n
+        for x, k in h.items():
+            have[got[c], x] += k
+            labels[x] += k
+    share = {"train": 0.7, "validation": 0.15, "test": 0.15}
+    return max(abs(size[n] / total - s) for n, s in share.items()), max(abs(have[n, x] / labels[x] - s) for n, s in share.items() for x in labels)
+
+
+def test_giants_are_split_by_the_search_too(spark):
+    """Three levels: giants among giants. Sizes and labels stay near their shares, those of the giants alone too."""
+    rng = random.Random(7)
+    comps = [(f"c{i:05d}", 1, {rng.choice("ab"): 1}) for i in range(3000)]
+    comps += [(f"d{i:03d}", n, {rng.choice("ab"): n}) for i in range(150) for n in [rng.randint(40, 60)]]
+    comps += [(f"e{i}", 600, {"a": 400, "b": 200}) for i in range(5)]
+    df = spark.createDataFrame(comps, "component string, rows bigint, labels map<string,bigint>")
+    got = {r["component"]: r["split"] for r in split_components(df, shard_components=60).collect()}
+    assert len(got) == len(comps)
+    size, label = deviations(comps, got)
+    assert size < 0.01 and label < 0.06
+    big = [c for c in comps if c[1] > 1]
+    assert deviations(big, got)[0] < 0.08
+    again = {r["component"]: r["split"] for r in split_components(df.repartition(7), shard_components=60).collect()}
+    assert again == got
