@@ -2,10 +2,10 @@
 
 A value is read in a few plain ways (wrapping words off, letters for look-alike
 digits and foreign letters, spaced letters joined) and reduced to a key; the entries' names, their
-turned word orders and their aliases are keys too. The tree returns every entry within the threshold of a key, and
-the nearest wins. Values too short for a threshold must be an alias, or the beginning of a name that was cut.
+turned word orders and their aliases are keys too. The tree returns every entry within the threshold of a key, pruned by the triangle
+inequality, and the nearest wins. It is walked once for all values of a batch: at each node the distances to all values that are still open are computed side by side. Values too short for a threshold must be an alias, or the beginning of a name that was cut.
 
-The entries are split into shards of bounded size, each with its own tree; the shards' winners merge by the
+The entries are split into shards of bounded size, each with its own tree; values and shards meet in one job, and the shards' winners merge by the
 least (distance, entry). Values are mapped once, however often they occur.
 """
 
@@ -15,17 +15,22 @@ import html
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.session import table
+from sparkmill.session import cut, table
 
 #: Entries of one tree; a reference of more is split into shards, so that what a task holds is bounded.
 SHARD_ENTRIES = 20_000
+#: Values that walk the tree side by side.
+TOGETHER = 2_048
+#: Values that meet a shard in one task, on average, at most.
+SLICE_VALUES = 50_000
 #: Foreign letters that look like Latin ones, digits typed for letters.
 LOOKALIKE = str.maketrans("авеёкмнорстухіјѕԁһցзɡαβεζηικμνορτυχ", "abeekmhopctyxijsdhg3gabeznikmnoptux")
 DIGITS = str.maketrans("013457$@", "oieastsa")
@@ -125,17 +130,32 @@ def _columns(masks: dict[str, int], n: int, b: str) -> int:
 
 
 def with_swaps(a: str, b: str) -> int:
-    """Edits where a swap of neighbours counts once."""
-    two, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            d = min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y))
-            if i and j and x == b[j - 1] and y == a[i - 1]:
-                d = min(d, two[j - 1] + 1)
-            new.append(d)
-        two, row = row, new
-    return row[-1]
+    """Edits where a swap of neighbours counts once. As _columns; a swap is a letter that is b's one before, where that one's was not met."""
+    if a == b:
+        return 0
+    if not a or not b:
+        return len(a) or len(b)
+    masks, n = _masks(a), len(a)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    vp, vn, d = full, 0, n
+    met = before = 0
+    get = masks.get
+    for c in b:
+        x = get(c, 0)
+        swap = ((~met & x) << 1) & before
+        met = ((((x & vp) + vp) ^ vp) | x | vn | swap) & full
+        hp = vn | ~(met | vp) & full
+        hn = met & vp
+        if hp & top:
+            d += 1
+        elif hn & top:
+            d -= 1
+        hp = (hp << 1 | 1) & full
+        hn = hn << 1 & full
+        vp = hn | ~(met | hp) & full
+        vn = hp & met
+        before = x
+    return d
 
 
 class BKTree:
@@ -170,8 +190,72 @@ class BKTree:
         return out
 
 
+    def search_many(self, keys: Sequence[str], thresholds: Sequence[int]) -> list[list[tuple[int, str]]]:
+        """search() of every key with its threshold, in one walk of the tree."""
+        out: list[list[tuple[int, str]]] = [[] for _ in keys]
+        order = sorted(range(len(keys)), key=lambda i: len(keys[i]))  # texts of like length have as many columns
+        for at in range(0, len(order), TOGETHER):
+            self._walk(keys, thresholds, order[at : at + TOGETHER], out)
+        return out
+
+    def _walk(self, keys: Sequence[str], thresholds: Sequence[int], which: list[int], out: list[list[tuple[int, str]]]) -> None:
+        if self.root is None:
+            return
+        texts, t = _Texts([keys[i] for i in which]), np.array([thresholds[i] for i in which])
+        todo = [(self.root, np.arange(len(which)))]
+        while todo:
+            (name, kids), open_ = todo.pop()
+            d = texts.distances(name, open_)
+            for i in np.flatnonzero(d <= t[open_]):
+                out[which[open_[i]]].append((int(d[i]), name))
+            for e, kid in kids.items():
+                if len(rest := open_[np.abs(d - e) <= t[open_]]):
+                    todo.append((kid, rest))
+
+
+class _Texts:
+    """Texts as rows of letters' numbers, for Levenshtein distances to one word of all at once."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.texts = list(texts)
+        self.size = np.array([len(x) for x in self.texts])
+        points = np.frombuffer("".join(x.ljust(max(self.size)) for x in self.texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters, codes = np.unique(points, return_inverse=True)
+        self.code = {chr(c): k for k, c in enumerate(letters.tolist())}
+        self.rows = codes.reshape(len(self.texts), -1).T if len(points) else np.zeros((0, len(self.texts)), int)
+
+    def distances(self, word: str, which: np.ndarray) -> np.ndarray:
+        """Myers' algorithm as in _columns, a row of machine words for the texts; a word longer than these goes the slow way."""
+        n = len(word)
+        if not 0 < n < 64:
+            return np.array([levenshtein(word, self.texts[i]) for i in which])
+        masks = np.zeros(len(self.code) + 1, np.uint64)
+        for c, m in _masks(word).items():
+            if c in self.code:
+                masks[self.code[c]] = m
+        one = np.uint64(1)
+        full, top = np.uint64((1 << n) - 1), np.uint64(1 << (n - 1))
+        vp, vn = np.full(len(which), full), np.zeros(len(which), np.uint64)
+        size = self.size[which]
+        d = np.full(len(which), n)
+        for at in range(int(size.max(initial=0))):
+            x = masks[self.rows[at][which]]
+            y = x | vn
+            x = (((x & vp) + vp) ^ vp) | x
+            hp = vn | ~(x | vp) & full
+            hn = vp & x
+            inside = at < size
+            d += inside & ((hp & top) != 0)
+            d -= inside & ((hn & top) != 0)
+            hp = (hp << one | one) & full
+            hn = hn << one & full
+            vp = hn | ~(y | hp) & full
+            vn = hp & y
+        return d
+
+
 def threshold(n: int) -> int:
-    """Edits, swaps counted once, allowed for a key of n characters. The tree is searched two edits wider, as a swap is two of its metric's edits."""
+    """Edits, swaps counted once, allowed for a key of n characters. A swap is two edits of the tree's metric, so the tree is searched to twice as many."""
     return 0 if n < 5 else 1 if n < 7 else 2 if n < 10 else 3
 
 
@@ -196,6 +280,7 @@ class Matcher:
                 if a and (r := read(a)):
                     self.alias.setdefault(r[0].key, set()).add(i)
         self.tree = BKTree(sorted(self.exact))
+        self.cut_trees: dict[int, BKTree] = {}  # of the beginnings of each length
         self.first.sort()
 
     def beginnings(self, key: str) -> list[int]:
@@ -208,13 +293,34 @@ class Matcher:
         return sorted(out, key=lambda i: (self.length[i], i))
 
     def best(self, value: str) -> tuple[float, int] | None:
-        """(distance, id) of the nearest entry; None if none is within the threshold. Equally near entries: the one whose length is nearest, then the least id.
+        return self.best_many([value])[0]
+
+    def best_many(self, values: Sequence[str]) -> list[tuple[float, int] | None]:
+        """(distance, id) of each value's nearest entry; None if none is within the threshold. Equally near entries: the one whose length is nearest, then the least id.
 
         A plainer way to read a value comes before the edits: as it stands, with
         digits as letters, as an alias, as the beginning of a name that was cut.
         """
-        readings = [(0.1 * letters, r) for letters in ((False, True) if any(c in "0134578$@" for c in value) else (False,)) for r in read(value, letters)]
-        readings = [(h, r) for h, r in readings if not re.fullmatch(r"[a-z]{0,12}\d{3,}", r.key)]  # no codes
+        all_readings, all_found, asked = [], [], []
+        for at, value in enumerate(values):
+            readings = [(0.1 * letters, r) for letters in ((False, True) if any(c in "0134578$@" for c in value) else (False,)) for r in read(value, letters)]
+            readings = [(h, r) for h, r in readings if not re.fullmatch(r"[a-z]{0,12}\d{3,}", r.key)]  # no codes
+            found = self._plain(readings)
+            all_readings.append(readings)
+            all_found.append(found)
+            if not found:
+                asked += [(at, h, r.key, t) for h, r in readings if (t := threshold(len(r.key)))]
+        hits = self.tree.search_many([key for _, _, key, _ in asked], [2 * t for *_, t in asked])
+        for (at, h, key, t), near in zip(asked, hits):
+            for _, name in near:
+                if (d := with_swaps(key, name)) <= t:
+                    all_found[at] += [(d + h, abs(self.length[i] - len(key)), i) for i in self.exact[name]]
+        for at, (readings, found) in enumerate(zip(all_readings, all_found)):
+            if not found or found[0][0] >= 1:  # none was read plainly
+                all_found[at] = found + self._cut_with_a_slip(readings)
+        return [min(found)[::2] if found else None for found in all_found]
+
+    def _plain(self, readings: list[tuple[float, Reading]]) -> list[tuple[float, int, int]]:
         found: list[tuple[float, int, int]] = []
         for h, r in readings:
             found += [(h, abs(self.length[i] - len(r.key)), i) for i in self.exact.get(r.key, ())]
@@ -225,50 +331,41 @@ class Matcher:
                     # one name, or a name and its longer relatives
                     if all(i == cut[0] or self.name[i].startswith(self.name[cut[0]]) for i in cut):
                         found.append((h + (0.3 if r.cut else 0.6), 0, cut[0]))
-        if not found:
-            for h, r in readings:
-                if t := threshold(len(r.key)):
-                    for _, key in self.tree.search(r.key, t + 2):
-                        if (d := with_swaps(r.key, key)) <= t:
-                            found += [(d + h, abs(self.length[i] - len(r.key)), i) for i in self.exact[key]]
-                if r.cut and len(r.key) >= 6:  # a cut name with a slip
-                    near = [i for k, i in self.first if len(k) > len(r.key) and with_swaps(k[: len(r.key)], r.key) <= 1]
-                    if near:
-                        found.append((1.5 + h, 0, min(near, key=lambda i: (self.length[i], i))))
-        return min(found)[::2] if found else None
+        return found
+
+    def _cut_with_a_slip(self, readings: list[tuple[float, Reading]]) -> list[tuple[float, int, int]]:
+        found = []
+        for h, r in readings:
+            n = len(r.key)
+            if r.cut and n >= 6:
+                if n not in self.cut_trees:
+                    self.cut_trees[n] = BKTree(sorted({k[:n] for k, _ in self.first if len(k) > n}))
+                near = {k for _, k in self.cut_trees[n].search(r.key, 2) if with_swaps(k, r.key) <= 1}
+                ids = [i for k in near for i in self.beginnings(k) if len(self.name[i]) > n]
+                if ids:
+                    found.append((1.5 + h, 0, min(ids, key=lambda i: (self.length[i], i))))
+        return found
 
 
 def match_values(values: DataFrame, column: str, reference: DataFrame, id_: str, name: str, aliases: str, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """column, entry, distance for every distinct value of the column; entry is -1 and distance null where none is meant. Null and blank values give no row."""
-    distinct = values.select(F.col(column).alias("value")).where("value IS NOT NULL AND trim(value) <> ''").distinct()
+    distinct = cut(values.select(F.col(column).alias("value")).where("value IS NOT NULL AND trim(value) <> ''").distinct())
     ref = reference.select(F.col(id_).cast("int").alias("id"), F.col(name).alias("name"), F.col(aliases).alias("aliases")).where("id IS NOT NULL AND name IS NOT NULL")
     shards = max(1, -(-ref.count() // shard_entries))
-    bundles = ref.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("id", "name", "aliases"))).alias("entries"))
-    n = values.sparkSession.sparkContext.defaultParallelism
-
-    return _per_shard(distinct, bundles, shards, n).groupBy("value").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct("distance", "entry"))).alias("w")).select(
-        F.col("value").alias(column), F.coalesce("w.entry", F.lit(-1)).alias("entry"), F.col("w.distance").alias("distance")
-    )
-
-
-def _per_shard(distinct: DataFrame, bundles: DataFrame, shards: int, n: int) -> DataFrame:
-    """Every value meets every shard's tree. A shard is at most SHARD_ENTRIES entries, so it can go to all tasks; it is sent once per task, not per value."""
-    sc = distinct.sparkSession.sparkContext
-    out = None
-    for s in range(shards):
-        row = bundles.where(F.col("shard") == s).first()  # a bounded shard of the reference
-        entries = [] if row is None else [(e["id"], e["name"], list(e["aliases"]) if e["aliases"] is not None else None) for e in row["entries"]]
-        sent = sc.broadcast(entries)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            m = Matcher(sent.value)
-            for d in batches:
-                best = [m.best(v) for v in d["value"]]
-                yield pd.DataFrame({"value": d["value"], "distance": [b[0] if b else None for b in best], "entry": pd.array([b[1] if b else None for b in best], dtype="Int32")}).astype({"distance": "float64"})
-
-        part = distinct.repartition(4 * n, "value").mapInPandas(run, "value string, distance double, entry int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    slices = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // SLICE_VALUES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    entries = ref.select("id", "name", "aliases", shard.alias("shard"), every(slices).alias("slice"))
+    asked = distinct.select("value", F.pmod(F.xxhash64("value"), F.lit(slices)).cast("int").alias("slice"), every(shards).alias("shard"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["id", "name"])
+        best = Matcher([(int(i), n, None if x is None else list(x)) for i, n, x in zip(b["id"], b["name"], b["aliases"])]).best_many(a["value"].tolist()) if len(a) else []
+        return pd.DataFrame({"value": a["value"], "distance": pd.array([b[0] if b else None for b in best], dtype="Float64"), "entry": pd.array([b[1] if b else None for b in best], dtype="Int32")})
+
+    met = asked.groupBy("shard", "slice").cogroup(entries.groupBy("shard", "slice")).applyInPandas(run, "value string, distance double, entry int")
+    won = met.groupBy("value").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct("distance", "entry"))).alias("w"))
+    return won.select(F.col("value").alias(column), F.coalesce("w.entry", F.lit(-1)).alias("entry"), F.col("w.distance").alias("distance"))
 
 
 def brand_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,23 @@ def test_table(spark):
     assert one == many == {"zudrik3x": 1, "diverse": -1}
     assert match_values(v.limit(0), "value", ref, "brand_id", "brand_name", "aliases").count() == 0
     assert {r["entry"] for r in match_values(v, "value", ref.limit(0), "brand_id", "brand_name", "aliases").collect()} == {-1}
+
+
+def test_one_walk_finds_what_brute_force_finds():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdé漢") for _ in range(rng.choice([1, 3, 5, 8, 12, 62, 63, 64, 70])))
+    names = sorted({word() for _ in range(150)})
+    asked = [rng.choice(names)[rng.randrange(2) :] + rng.choice(["", "x", "ab"]) for _ in range(200)] + [""]
+    most = [rng.randrange(7) for _ in asked]
+    got = BKTree(names).search_many(asked, most)
+    assert [sorted(x) for x in got] == [sorted((d, n) for n in names if (d := levenshtein(a, n)) <= t) for a, t in zip(asked, most)]
+    assert BKTree([]).search_many(["a"], [3]) == [[]] and BKTree(["a"]).search_many([], []) == []
+
+
+def test_shards_give_what_one_tree_gives(spark):
+    rng = random.Random(10)
+    names = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 12))) for _ in range(300)})
+    ref = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "i int, n string, a array<string>")
+    values = spark.createDataFrame([(n[:k] + "x" + n[k + 1 :],) for n in names for k in (1, 3)] + [(None,), (" ",), ("zzzzzzzz",)], "v string")
+    one, many = (sorted((r["v"], r["entry"], r["distance"] or 0.0) for r in match_values(values, "v", ref, "i", "n", "a", shard_entries=k).collect()) for k in (1000, 40))
+    assert one == many and any(r[1] == -1 for r in one) and len(one) > 500
