@@ -1,12 +1,14 @@
 """Listings that are one article (problem 1).
 
-Titles are read into attributes and a name. Distinct names are blocked on their rare words, compared by
+Titles are read into attributes and a name. Distinct names are blocked on their rarest word, met as it is or within
+two edits, and, where words are joined or parted, on their letters; they are compared by
 the inverse-frequency-weighted cosine of their character n-grams, vetoed where a word or the brand
 differs by more than typing slips, and clustered into lines. Listings of one line with the same
 species, age group, ingredient, content, number of units and bonus are one article; conflicting numbers or variants
 keep them apart, an attribute that is left out doesn't.
 
-Work is done on distinct names, so that a hot brand, line or exact copy costs no more than its different spellings.
+Work is done on distinct names, so that a hot brand, line or exact copy costs no more than its different spellings. A word that
+many names share blocks none of them that has a rarer one.
 """
 
 from __future__ import annotations
@@ -21,24 +23,31 @@ from pyspark.sql import functions as F
 
 from sparkmill.functions.titles import read_title
 from sparkmill.llm.brands import with_swaps
+from sparkmill.llm.names import both_ways, kept_keys, keyed_words, letter_sets, near_words, rarest, sought_keys, word_keys
 from sparkmill.operators.graph import connected_components
-from sparkmill.session import cut, table
+from sparkmill.session import cut, spread, table
 
 #: Length of the n-grams; the least cosine; edits by which two spellings of a line may differ in all.
 GRAM, COSINE, EDITS = 3, 0.4, 2
-#: Distinct names that share a word beyond which they are compared in blocks, each name of about so many with all.
-HOT_WORD = 400
+#: What recorded life stages are called here.
 _STAGE = {"puppy": "young", "kitten": "young", "junior": "young", "adult": "adult", "senior": "senior"}
 
 
-def word_edits(a: str, b: str) -> int:
-    """Edits between two names of words: words are matched one to one where there are as many, else the joined names are compared."""
+def _orders(words: list[str]) -> list[str]:
+    """The words joined in every order; in the given one where they are too many."""
+    return ["".join(p) for p in itertools.permutations(words)] if len(words) <= 4 else ["".join(words)]
+
+
+def word_edits(a: str, b: str) -> tuple[int, str, str]:
+    """Edits between two names of words, and the two as they were compared: words are matched one to one where there are as many; else the names are joined in the order that fits best, which is an edit itself."""
     if a == b:
-        return 0
+        return 0, a, b
     x, y = a.split(), b.split()
     if len(x) == len(y) <= 4:
-        return min(sum(with_swaps(p, q) for p, q in zip(x, perm)) for perm in itertools.permutations(y))
-    return min(with_swaps("".join(p), "".join(y)) for p in itertools.permutations(x)) if len(x) <= 4 else with_swaps(a, b)
+        return min((sum(with_swaps(p, q) for p, q in zip(x, perm)), a, b) for perm in itertools.permutations(y))
+    if len(x) == len(y):
+        return with_swaps(a, b), a, b
+    return min((1 + with_swaps(p, q), p, q) for p in _orders(x) for q in _orders(y))
 
 
 def grams(name: str) -> list[str]:
@@ -49,11 +58,14 @@ def line_of(words: list[str], line: list[str]) -> tuple[list[str], list[str]]:
     """The words of a title that are its line, given the line as recorded, and the others."""
     left, mine = list(words), []
     joined = "".join(line)
-    for w in left:
-        if len(line) > 1 and (with_swaps(w, joined) <= 2 or with_swaps(w, "".join(reversed(line))) <= 2):
-            return [w], [x for x in left if x != w]
+    if len(line) > 1:
+        turned = "".join(reversed(line))
+        for w in left:
+            if abs(len(w) - len(joined)) <= 2 and (with_swaps(w, joined) <= 2 or with_swaps(w, turned) <= 2):
+                return [w], [x for x in left if x != w]
     for x in line:
-        best = min(left, key=lambda w: with_swaps(w, x), default=None)
+        # a word whose length differs by more is more than two edits away
+        best = x if x in left else min((w for w in left if abs(len(w) - len(x)) <= 2), key=lambda w: with_swaps(w, x), default=None)
         if best is not None and with_swaps(best, x) <= min(2, max(len(x), len(best)) // 3):
             mine.append(best)
             left.remove(best)
@@ -90,8 +102,7 @@ def read_listings(norm: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype="object")
             yield out.astype({"id": "int32", "w": "Int32", "v": "Int32", "n": "Int32", "b": "Int32", "stated": "bool"})
 
-    sc = norm.sparkSession.sparkContext
-    return norm.where("id IS NOT NULL").select(*cols).repartition(2 * sc.defaultParallelism, "id").mapInPandas(run, schema)
+    return spread(norm.where("id IS NOT NULL").select(*cols), "id").mapInPandas(run, schema)
 
 
 def settle_names(rows: DataFrame) -> DataFrame:
@@ -109,23 +120,42 @@ def settle_names(rows: DataFrame) -> DataFrame:
     return rows.join(names, "id", "left").withColumns({"line": F.coalesce("line", "line2"), "brand": F.coalesce("brand", "brand2")}).drop("line2", "brand2", "words")
 
 
+def read_lines(lines: DataFrame) -> DataFrame:
+    """line, words, sets, letters: different words, letter sets, and all letters in order of the alphabet."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            rows = [(x, sorted(set(x.split())), letter_sets(x), "".join(sorted(x.replace(" ", "")))) for x in d["line"]]
+            yield pd.DataFrame(rows, columns=["line", "words", "sets", "letters"])
+
+    return lines.select("line").mapInPandas(run, "line string, words array<string>, sets array<bigint>, letters string")
+
+
+def line_candidates(lines: DataFrame) -> DataFrame:
+    """a, b: pairs a < b of different lines (of read_lines), among them all whose word_edits are at most EDITS.
+
+    Words matched one to one differ by no more edits each, so the rarest word of a line is within these of one of the other's words. Joined and parted words
+    leave one edit to the letters, so the lines share a letter set.
+    """
+    each = lines.select("line", "letters", F.explode("words").alias("word"))
+    counts = cut(each.groupBy("word").agg(F.count("*").alias("n")))
+    keyed = cut(keyed_words(counts))
+    near = near_words(sought_keys(keyed), kept_keys(keyed))
+    rare = cut(rarest(each.select("line", "letters", "word").withColumn("line", F.struct("line", "letters")), counts, "line", 1))
+    probes = rare.select("line", "word").unionByName(rare.join(near, "word").select("line", F.col("other").alias("word")))
+    probes = probes.select(F.col("line.line").alias("p"), F.col("line.letters").alias("pl"), "word")
+    met = probes.join(each, "word").where((F.col("p") != F.col("line")) & (F.levenshtein("pl", "letters", 2 * EDITS) >= 0)).select(F.col("p").alias("x"), F.col("line").alias("y"))
+    sets = lines.select("line", F.size("words").alias("m"), F.explode("sets").alias("s"))
+    x, y = sets.alias("x"), sets.alias("y")
+    joined = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.m") < F.col("y.m"))).select(F.col("x.line").alias("x"), F.col("y.line").alias("y"))
+    return met.unionByName(joined).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_lines(lines: DataFrame) -> DataFrame:
     """a, b: pairs a < b of different spellings of a line."""
     lines = lines.select("line").where("line <> ''").distinct()
     words = F.split("line", " ")
-    each = lines.select("line", words.alias("ws")).withColumn("m", F.size("ws"))
-    single = each.select("line", F.explode("ws").alias("key")).withColumn("rest", F.trim(F.regexp_replace(F.concat(F.lit(" "), "line", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" ")), F.lit(" "))))
-    two = each.where("m = 2").select("line", F.explode(F.array(F.concat(F.col("ws")[0], F.col("ws")[1]), F.concat(F.col("ws")[1], F.col("ws")[0]))).alias("key"), F.lit("").alias("rest"))
-    keys = cut(single.unionByName(two))
-    hot = keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    keys = keys.join(hot, "key")
-    # every two names of a word meet in one block, so the pairs don't depend on how many share it
-    blocks = F.ceil(F.col("df") / HOT_WORD)
-    x = keys.select("key", F.pmod(F.xxhash64("line"), blocks).alias("g"), "line", "rest").alias("x")
-    y = keys.select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("g"), "line", "rest").alias("y")
-    near = (F.length("x.rest") == 0) | (F.length("y.rest") == 0) | (F.levenshtein("x.rest", "y.rest", 2 * EDITS) >= 0)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.line") < F.col("y.line")) & near)
-    pairs = pairs.select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct()
+    pairs = line_candidates(cut(read_lines(lines)))
     grammed = lines.select("line", F.explode(words).alias("w")).select("line", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
     grammed = grammed.select("line", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - GRAM + 1), lambda i: F.substring("w", i, F.lit(GRAM)))).alias("g")).distinct()
     # at most 38^3 n-grams of letters, digits and blank: bounded, whatever the data
@@ -135,25 +165,23 @@ def similar_lines(lines: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        idf, norms = sent.value, {}
+        idf, norms, unseen = sent.value, {}, 1 + math.log(1 + total)
 
         def vector(s: str) -> tuple[dict, float]:
             if s not in norms:
                 v: dict = {}
                 for g in grams(s):
-                    v[g] = v.get(g, 0.0) + idf.get(g, 0.0)
+                    v[g] = v.get(g, 0.0) + idf.get(g, unseen)
                 norms[s] = (v, math.sqrt(sum(c * c for c in v.values())) or 1.0)
             return norms[s]
 
         out = []
         for p, q in zip(a, b):
-            if word_edits(p, q) > EDITS:  # the veto
+            edits, p, q = word_edits(p, q)
+            if edits > EDITS:  # the veto
                 out.append(False)
                 continue
             (u, m), (v, n) = vector(p), vector(q)
-            if len(p.split()) != len(q.split()):
-                out.append(True)  # the same letters, joined
-                continue
             out.append(sum(c * v.get(g, 0.0) for g, c in u.items()) / (m * n) >= COSINE)
         return pd.Series(out)
 
@@ -164,6 +192,20 @@ def _brands_agree(x: str, y: str) -> Column:
     return (F.col(x) == F.col(y)) | ((F.length(x) >= 5) & (F.levenshtein(x, y, 2) >= 0)) | (F.levenshtein(F.replace(F.col(x), F.lit(" "), F.lit("")), F.replace(F.col(y), F.lit(" "), F.lit("")), 1) >= 0)
 
 
+def similar_brands(brands: DataFrame) -> DataFrame:
+    """p, q: different brands that agree, both ways, and each with itself. Blocked on what is left without two letters or fewer, however parted into words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            yield pd.DataFrame([(x, *word_keys(x), word_keys(x.replace(" ", ""))[0], word_keys(x.replace(" ", ""))[1]) for x in d["brand"]], columns=["brand", "k1", "s1", "k2", "s2"])
+
+    keyed = cut(brands.select("brand").mapInPandas(run, "brand string, k1 array<string>, s1 array<string>, k2 array<string>, s2 array<string>"))
+    kept = keyed.select(F.col("brand").alias("q"), F.explode(F.array_union("k1", "k2")).alias("key"))
+    sought = keyed.select(F.col("brand").alias("p"), F.explode(F.array_union("s1", "s2")).alias("key"))
+    pairs = sought.join(kept, "key").where("p < q").select("p", "q").distinct().where(_brands_agree("p", "q"))
+    return both_ways(pairs, "p", "q", "p", "q").unionByName(brands.select(F.col("brand").alias("p"), F.col("brand").alias("q")))
+
+
 def line_clusters(rows: DataFrame) -> DataFrame:
     """line, brand, cluster: every distinct name and its cluster. A name without a brand joins the best supported cluster that has its line."""
     names = rows.groupBy("line", "brand").agg(F.count("*").alias("support"))
@@ -172,19 +214,23 @@ def line_clusters(rows: DataFrame) -> DataFrame:
     names = cut(names.withColumn("name", F.concat_ws("|", "line", "brand")))
     links = similar_lines(names)
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(names.select(F.col("line").alias("a"), F.col("line").alias("b")).distinct()))
-    x = names.select(F.col("line").alias("a"), F.col("brand").alias("p"), F.col("name").alias("na"))
-    y = names.select(F.col("line").alias("b"), F.col("brand").alias("q"), F.col("name").alias("nb"), F.col("support").alias("sb"))
-    pairs = cut(x.join(links, "a").join(y, "b").where("na <> nb").select("na", "nb", "p", "q", "sb"))
-    full = pairs.where("p <> '' AND q <> '' AND na < nb").where(_brands_agree("p", "q"))
-    bare = pairs.where("p = '' AND q = '' AND na < nb")
-    comps = connected_components(full.unionByName(bare).select("na", "nb").unionByName(names.select(F.col("name").alias("na"), F.col("name").alias("nb"))), "na", "nb")
-    comps = cut(comps)
+    # brands that agree are found once among the different ones, so that a line of many brands doesn't pair them all
+    brands = names.where("brand <> ''").select("brand").distinct()
+    agree = cut(similar_brands(brands))
+    x = names.select(F.col("line").alias("a"), F.col("brand").alias("p"), F.xxhash64("name").alias("na"))
+    y = names.select(F.col("line").alias("b"), F.col("brand").alias("q"), F.xxhash64("name").alias("nb"), F.col("support").alias("sb"))
+    near = cut(x.join(links, "a"))
+    full = near.where("p <> ''").join(agree, "p").join(y, ["b", "q"]).where("na <> nb")
+    bare = near.where("p = ''").join(y.where("q = ''"), "b").where("na <> nb")
+    links = full.select("na", "nb").unionByName(bare.select("na", "nb"))
+    alone = names.select(F.xxhash64("name").alias("na"), F.xxhash64("name").alias("nb"))
+    comps = cut(connected_components(links.unionByName(alone), "na", "nb"))
     # a name without brand: its component goes to the branded component that supports its line best
-    reach = pairs.where("p = '' AND q <> ''").select(F.col("na").alias("node"), F.col("nb").alias("other"), "sb")
+    reach = near.where("p = ''").join(y.where("q <> ''"), "b").select(F.col("na").alias("node"), F.col("nb").alias("other"), "sb")
     support = reach.join(comps, "node").withColumnRenamed("component", "c0").join(comps.select(F.col("node").alias("other"), F.col("component").alias("c1")), "other")
     goes = support.groupBy("c0", "c1").agg(F.sum("sb").alias("s")).groupBy("c0").agg(F.max_by("c1", F.struct("s", "c1")).alias("c1"))
-    done = comps.join(goes, comps["component"] == goes["c0"], "left").select(F.col("node").alias("name"), F.coalesce("c1", "component").alias("cluster"))
-    return names.join(done, "name").select("line", "brand", "cluster")
+    done = comps.join(goes, comps["component"] == goes["c0"], "left").select(F.col("node").alias("id"), F.coalesce("c1", "component").alias("cluster"))
+    return names.withColumn("id", F.xxhash64("name")).join(done, "id").select("line", "brand", "cluster")
 
 
 def articles(norm: DataFrame) -> DataFrame:

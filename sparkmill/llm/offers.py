@@ -16,7 +16,6 @@ folders that count; a batch that broke off leaves none. Cells lie in files by nu
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import json
 import re
@@ -27,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -35,6 +34,7 @@ from sparkmill.functions import titles
 from sparkmill.functions.quantity import Amount, fold, read_amount
 from sparkmill.functions.titles import read_title
 from sparkmill.llm.brands import levenshtein, with_swaps
+from sparkmill.llm.names import both_ways, kept_keys, keyed_words, letter_sets, near_words, rarest, sought_keys
 from sparkmill.session import cut, scratch_path, spread, table
 
 #: Bits of a vector: letters (26 and two for all else) by counts up to COUNTS, filled up to whole words of 64, then trigrams.
@@ -43,8 +43,6 @@ VECTOR = [f"v{i}" for i in range((LETTER_BITS + DIMENSIONS) // 64)]
 #: Most bits in which names differ that same_words accepts. Letters: a substitution changes two, and there are three edits; a word of five stands alone.
 #: Trigrams: a swap changes four on either side; of words joined or parted one edit, and two on either side of four borders.
 LETTERS_APART, TRIGRAMS_APART = 3 * 2, 2 * 8 + 4 * 4
-#: Edits in a word, swaps counted once. Words up to SHORT letters meet by what is left without as many letters, longer ones by their pieces.
-WORD_EDITS, SHORT, PIECES = 2, 16, 5
 #: Offers that a round of waiting batches holds at least, where there are so many.
 ROUND_OFFERS = 40_000
 #: Files of the cells in a folder of the index; folders of one size that are merged into one.
@@ -141,47 +139,6 @@ def within(x: str, y: str) -> Column:
     return (sum(bits[1:n], bits[0]) <= LETTERS_APART) & (sum(bits[n + 1 :], bits[n]) <= TRIGRAMS_APART)
 
 
-@lru_cache(maxsize=4096)
-def _weight(letter: str) -> int:
-    return int.from_bytes(hashlib.blake2b(letter.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-
-
-def letter_sets(name: str) -> list[int]:
-    """Sums of the letters' weights: of all letters of a name, and of all but one of each different letter. Names one edit apart, however parted into words, share one."""
-    letters = Counter(name.replace(" ", ""))
-    whole = sum(_weight(c) * n for c, n in letters.items())
-    return [((whole - x + 2**63) % 2**64) - 2**63 for x in (0, *map(_weight, sorted(letters)))]
-
-
-def word_keys(word: str) -> tuple[list[str], list[str]]:
-    """Keys under which a word is kept, and those under which it is looked for: two words within WORD_EDITS edits share one.
-
-    A short word: what is left without any WORD_EDITS letters or fewer. A longer one is kept by its PIECES pieces, one of which the
-    edits leave whole, as a swap can reach over into a second, and looked for by every piece that words of nearly its length can have nearly there.
-    """
-    kept: set[str] = set()
-    sought: set[str] = set()
-    n = len(word)
-    if n <= SHORT:
-        level = {word}
-        for _ in range(WORD_EDITS):
-            level |= {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
-        kept |= {"-" + w for w in level}
-    sought |= kept
-    if n > SHORT - WORD_EDITS:
-        ends = lambda m: [m * i // PIECES for i in range(PIECES + 1)]
-        e = ends(n)
-        kept |= {f"{n}/{e[i]}/{word[e[i] : e[i + 1]]}" for i in range(PIECES)}
-        for m in range(n - WORD_EDITS, n + WORD_EDITS + 1):
-            e = ends(m)
-            for i in range(PIECES):
-                for at in range(max(0, e[i] - WORD_EDITS), min(n, e[i] + WORD_EDITS) + 1):
-                    piece = word[at : at + e[i + 1] - e[i]]
-                    if len(piece) == e[i + 1] - e[i]:
-                        sought.add(f"{m}/{e[i]}/{piece}")
-    return sorted(kept), sorted(sought)
-
-
 def words_of(name: str) -> list[str]:
     """The different words by which a name is compared; none of a name that is known by a hash or not at all."""
     return [] if name.startswith("#") else sorted(set(name.split()))
@@ -254,32 +211,11 @@ def read_names(names: DataFrame) -> DataFrame:
     return names.select("name").mapInPandas(run, schema)
 
 
-def _keyed(words: DataFrame) -> DataFrame:
-    """word, kept, sought: the keys of word_keys."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            yield pd.DataFrame([(w, *word_keys(w)) for w in d["word"]], columns=["word", "kept", "sought"])
-
-    return words.select("word").mapInPandas(run, "word string, kept array<string>, sought array<string>")
-
-
-@F.pandas_udf(BooleanType())
-def _near_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([levenshtein(x, y) <= 2 * WORD_EDITS and with_swaps(x, y) <= WORD_EDITS for x, y in zip(a, b)], dtype=bool)
-
-
 @F.pandas_udf(BooleanType())
 def _same_words(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_words(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def _both_ways(pairs: DataFrame, a: str, b: str, x: str, y: str) -> DataFrame:
-    """Different pairs x, y of pairs (a, b) and (b, a)."""
-    turned = F.array(F.struct(F.col(a).alias(x), F.col(b).alias(y)), F.struct(F.col(b).alias(x), F.col(a).alias(y)))
-    return pairs.select(F.explode(turned).alias("p")).select(f"p.{x}", f"p.{y}").distinct()
-
-
 def _word_cell(word: str) -> Column:
     return F.xxhash64(F.lit("word"), F.col(word))
 
@@ -367,21 +303,19 @@ class OfferIndex:
         """Adds the words of new names: their counts, their keys, and which words lie within two edits. Returns counts and near words of old and new."""
         counts = self._write(names.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words", folder)
         fresh = counts.join(self._read("words").select("word").distinct(), "word", "left_anti")
-        keyed = cut(_keyed(fresh))
-        kept = self._write(keyed.select("word", F.explode("kept").alias("k")).select("word", F.xxhash64("k").alias("key")), "forms", folder)
-        sought = keyed.select(F.col("word").alias("a"), F.explode("sought").alias("k")).select("a", F.xxhash64("k").alias("key"))
+        keyed = cut(keyed_words(fresh))
+        kept = self._write(kept_keys(keyed), "forms", folder)
+        sought = sought_keys(keyed)
         known = self._probed("forms", sought).select("word", "key").unionByName(kept.select("word", "key"))
-        pairs = sought.join(known, "key").where("a <> word").select("a", "word").distinct().where(_near_words("a", "word"))
-        near = self._write(_both_ways(pairs, "a", "word", "word", "other"), "near_words", folder)
+        near = self._write(near_words(sought, known), "near_words", folder)
         return self._read("words").unionByName(counts), self._read("near_words").unionByName(near)
 
-    def _search(self, names: DataFrame, counts: DataFrame, near_words: DataFrame, folder: str) -> DataFrame:
+    def _search(self, names: DataFrame, counts: DataFrame, near: DataFrame, folder: str) -> DataFrame:
         """q, name of every new name and every other one, old or new, that same_words accepts; appends the new names to the cells."""
         each = names.select("name", F.explode("words").alias("word"))
         n = counts.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
-        order = Window.partitionBy("name").orderBy("n", "word")
-        rare = each.join(n, "word").withColumn("k", F.row_number().over(order)).where("k <= 2").select("name", "word", "k")
-        alike = rare.where("k = 1").join(near_words, "word").select("name", F.col("other").alias("word"))
+        rare = rarest(each, n, "name", 2)
+        alike = rare.where("k = 1").join(near, "word").select("name", F.col("other").alias("word"))
         probes = rare.select("name", "word").unionByName(alike).select("name", _word_cell("word").alias("key"))
         probes = probes.unionByName(names.select("name", F.explode("sets").alias("s")).select("name", _set_cell("s").alias("key"))).distinct()
         probes = cut(probes.join(names.select("name", *VECTOR), "name").select(F.col("name").alias("q"), "key", *[F.col(c).alias(f"q_{c}") for c in VECTOR]))
@@ -408,10 +342,9 @@ class OfferIndex:
         kinds = cut(offers.groupBy("k1", "k2", *attrs).agg(F.min("offer_id").alias("offer_id")).join(known_kinds.select("k1", "k2"), ["k1", "k2"], "left_anti"))
         names = cut(read_names(kinds.select("name").distinct().join(self._read("names"), "name", "left_anti")))
         written = self._write(names.select("name"), "names", folder)
-        counts, near_words = self._learn_words(names, folder)
-        near = self._search(names, counts, near_words, folder)
+        near = self._search(names, *self._learn_words(names, folder), folder)
         # names that are known already have their neighbours of before; new ones link both ways
-        links = self._write(_both_ways(near, "q", "name", "q", "name"), "links", folder)
+        links = self._write(both_ways(near, "q", "name", "q", "name"), "links", folder)
         mine = kinds.select("name").distinct()
         earlier = self._read("links").join(mine.join(written, "name", "left_anti").select(F.col("name").alias("q")), "q", "left_semi")
         sim = links.unionByName(earlier).unionByName(mine.select(F.col("name").alias("q"), "name")).distinct()

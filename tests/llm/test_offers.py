@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 from sparkmill.llm import offers
-from sparkmill.llm.offers import LETTERS_APART, LETTER_BITS, TRIGRAMS_APART, OfferIndex, deduplicate, letter_sets, read_names, read_offer, same_words, vector, word_keys
-from sparkmill.session import cut, scratch_path
+from sparkmill.llm.offers import LETTERS_APART, LETTER_BITS, TRIGRAMS_APART, OfferIndex, deduplicate, read_names, read_offer, same_words, vector
+from sparkmill.llm.names import letter_sets, word_keys
+from sparkmill.session import cut
 
 SCHEMA = "offer_id int, batch_no int, title string, description string, content_hash string, name string"
 T = "Conserva pt. pisici Vohind Ginund Stekutam Jestos Adult bogat in curcan 156 grame"
