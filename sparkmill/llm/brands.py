@@ -363,7 +363,9 @@ def match_values(values: DataFrame, column: str, reference: DataFrame, id_: str,
         best = Matcher([(int(i), n, None if x is None else list(x)) for i, n, x in zip(b["id"], b["name"], b["aliases"])]).best_many(a["value"].tolist()) if len(a) else []
         return pd.DataFrame({"value": a["value"], "distance": pd.array([b[0] if b else None for b in best], dtype="Float64"), "entry": pd.array([b[1] if b else None for b in best], dtype="Int32")})
 
-    met = asked.groupBy("shard", "slice").cogroup(entries.groupBy("shard", "slice")).applyInPandas(run, "value string, distance double, entry int")
+    # few bytes, much work: a stated number of parts is not put together again
+    parted = lambda d: d.repartition(shards * slices, "shard", "slice").groupBy("shard", "slice")
+    met = parted(asked).cogroup(parted(entries)).applyInPandas(run, "value string, distance double, entry int")
     won = met.groupBy("value").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct("distance", "entry"))).alias("w"))
     return won.select(F.col("value").alias(column), F.coalesce("w.entry", F.lit(-1)).alias("entry"), F.col("w.distance").alias("distance"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from sparkmill.llm.brands import levenshtein, with_swaps
+from sparkmill.llm.brands import with_swaps
 
 #: Edits in a word, swaps counted once. Words up to SHORT letters meet by what is left without as many letters, longer ones by their pieces.
 WORD_EDITS, SHORT, PIECES = 2, 16, 5
@@ -79,12 +79,15 @@ def sought_keys(keyed: DataFrame) -> DataFrame:
 
 @F.pandas_udf(BooleanType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([levenshtein(x, y) <= 2 * WORD_EDITS and with_swaps(x, y) <= WORD_EDITS for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([x is None or with_swaps(x, y) <= WORD_EDITS for x, y in zip(a, b)], dtype=bool)
 
 
 def near_words(sought: DataFrame, kept: DataFrame) -> DataFrame:
     """word, other: different words within WORD_EDITS edits, both ways."""
-    pairs = sought.join(kept, "key").where("a <> word").select("a", "word").distinct().where(_near("a", "word"))
+    pairs = sought.join(kept, "key").where("a <> word").select("a", "word").distinct()
+    # a swap is two plain edits; only pairs with more of these than WORD_EDITS need to be looked at for swaps
+    pairs = pairs.withColumn("d", F.levenshtein("a", "word", 2 * WORD_EDITS)).where("d >= 0")
+    pairs = pairs.where(_near(F.when(F.col("d") > WORD_EDITS, F.col("a")), "word"))
     return both_ways(pairs, "a", "word", "word", "other")
 
 
