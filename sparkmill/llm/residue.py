@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmill.operators.graph import connected_components
-from sparkmill.session import cut, table
+from sparkmill.session import cut, spread, table
 
 #: Words in a shingle; the least similarity of near-duplicates as a fraction, so that it is compared in whole numbers.
 SHINGLE, SIMILAR, OF = 5, 4, 5
@@ -37,17 +37,20 @@ _TOKENS = re.compile(r"<\|[a-z]+\|>")
 NAVIGATION = frozenset("search tags users terms cookies about contact home acasa cos login logout cont cautare register faq help privacy menu skip sign up in".split())
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
+
+
 def fold(s: str) -> str:
     if s.isascii():
         return s.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
+    return _FOREIGN.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), unicodedata.normalize("NFKD", s.lower()))
 
 
 def _plain_letters(s: str) -> str:
     """Without letters of foreign scripts, symbols and invisible characters that got into a text."""
     if s.isascii():
         return s
-    return "".join(c for c in s if ord(c) < 0x250 or c in "‘’“”„–—…©" or 0x300 <= ord(c) < 0x370)
+    return _FOREIGN.sub(lambda m: "".join(c for c in m[0] if ord(c) < 0x250 or c in "‘’“”„–—…©" or 0x300 <= ord(c) < 0x370), s)
 
 
 def _navigation(line: str) -> bool:
@@ -220,8 +223,7 @@ def read_documents(docs: DataFrame) -> DataFrame:
             rows = [(i, *trusted(t if isinstance(t, str) else None)) for i, t in zip(d["doc_id"], d["text"])]
             yield pd.DataFrame(rows, columns=["doc_id", "whole", "open", "body"], dtype="object").astype({"doc_id": "int64", "whole": "bool", "open": "bool"})
 
-    n = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").repartition(4 * n, "doc_id").mapInPandas(run, schema)
+    return spread(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id").mapInPandas(run, schema)
 
 
 def near_bodies(bodies: DataFrame, key: str = "body") -> DataFrame:
@@ -257,9 +259,9 @@ def near_bodies(bodies: DataFrame, key: str = "body") -> DataFrame:
 def residue(docs: DataFrame) -> DataFrame:
     """doc_id, reason of every document that is residue: "trusted", "unfilled" or "near" (a near-duplicate of trusted ones).
 
-    Empty, blank and null texts are none. Other columns are ignored; repeated ids give one row each reason.
+    Bodies are known by 64-bit hashes, so components hold no texts. Empty, blank and null texts are none. Other columns are ignored; repeated ids give one row each reason.
     """
-    read = cut(read_documents(docs).withColumn("key", F.when(F.col("body") != "", F.md5("body"))))
+    read = cut(read_documents(docs).withColumn("key", F.when(F.col("body") != "", F.xxhash64("body"))))
     bodies = cut(read.where("key IS NOT NULL").groupBy("key").agg(F.max("whole").alias("whole"), F.first("body").alias("body")))
     pairs = cut(near_bodies(bodies.select("key", "body"), "key"))
     seeds = bodies.where("whole").select("key")

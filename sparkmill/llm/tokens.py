@@ -9,13 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmill.llm.bpe import public_path, vocabulary
-from sparkmill.session import table
-
-
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """df as it is read; a single file without splits is spread over the cores first, as encoding costs more than moving."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * n, F.col(column)) if df.rdd.getNumPartitions() < n else df
+from sparkmill.session import spread, table
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
