@@ -31,6 +31,10 @@ def quotas(counts: DataFrame, group: str, available: str, order: str, quota: int
 
 def stratified(df: DataFrame, stratum: str, key: str, share: float, at_least: int) -> DataFrame:
     """Of each stratum round-half-up(share * rows) rows, but at least at_least where it has them, in hash order."""
-    n = Window.partitionBy(stratum)
-    d = df.withColumns({"_n": F.count("*").over(n), "_k": F.row_number().over(n.orderBy(hash_order(key), key))})
-    return d.where(F.col("_k") <= F.least(F.col("_n"), F.greatest(F.lit(at_least), F.round(F.col("_n") * share)))).drop("_n", "_k")
+    size = df.groupBy(stratum).agg(F.least(F.count("*"), F.greatest(F.lit(at_least), F.round(F.count("*") * share))).alias("_take"))
+    # the limit is pushed below the exchange where the ranks are cut by a constant; strata are few, so their greatest take is one
+    most = int(size.agg(F.max("_take")).first()[0] or 0)
+    w = Window.partitionBy(stratum).orderBy(hash_order(key), key)
+    ranked = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+    j = ranked.join(size.withColumnRenamed(stratum, "_s"), F.col(stratum).eqNullSafe(F.col("_s")))
+    return j.where("_k <= _take").drop("_s", "_k", "_take")

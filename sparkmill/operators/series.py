@@ -78,8 +78,11 @@ def nth_last_day(days: DataFrame, keys: Sequence[str], day: str, n: int) -> Data
 
 
 def first_days(df: DataFrame, keys: Sequence[str], day: str, n: int) -> DataFrame:
-    """Rows of the first n different days of each key."""
-    return df.withColumn("_k", F.dense_rank().over(Window.partitionBy(*keys).orderBy(day))).where(F.col("_k") <= n).drop("_k")
+    """Rows of the first n different days of each key. The days are ranked once each, so a hot key's rows are in no one task; rows with a null day or key never match."""
+    days = df.select(*keys, day).where(F.col(day).isNotNull()).distinct()
+    w = Window.partitionBy(*keys).orderBy(day)
+    first = days.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    return df.join(first, [*keys, day], "left_semi")
 
 
 def new_per_day(df: DataFrame, group: str, item: str, day: str) -> DataFrame:

@@ -17,6 +17,33 @@ def json_page_scan(s, d):
     return r.groupBy("url").agg(F.count("*").alias("variants"), F.count_distinct("product_id").alias("products"), F.count("price").alias("priced"))
 
 
+def html_card_scan(s, d):
+    """The entries written as cards with a JSON attribute, a page of a shop each, and scanned back; every card whose variant's price isn't the shown one is an error."""
+    c = T(s, d, "category_listings").where("id IS NOT NULL AND source IS NOT NULL AND page_no IS NOT NULL").select("id", F.concat_ws("/", "source", "page_no").alias("page"), "title", F.try_element_at("variants", F.lit(1))["price"].alias("price"))
+    data = F.to_json(F.struct("id", "title", "price"))
+    for sign, entity in {"&": "&amp;", '"': "&quot;", "<": "&lt;", ">": "&gt;"}.items():
+        data = F.replace(data, F.lit(sign), F.lit(entity))
+    # every seventh card shows another price
+    shown = F.when(F.col("id") % 7 == 0, F.lit("1,01")).otherwise(F.coalesce("price", F.lit("")))
+    card = F.concat(F.lit('<li class="card" data-product="'), data, F.lit('"><b>'), shown, F.lit("</b></li>"))
+    p = c.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", card.alias("c")))), lambda x: x["c"]), "\n").alias("html"))
+    r = pages.attribute_cards(p, r'<li class="card".*?</li>', r'data-product="([^"]*)"', {"id": "$.id", "title": "$.title", "price": "$.price"}, r"<b>([^<]*)</b>", "html", "page")
+    return r.groupBy("url").agg(F.count("*").alias("cards"), F.count("title").alias("titled"), F.count_if(F.col("error") == "price").alias("wrong"), F.count_if(F.col("error") == "no data").alias("broken"))
+
+
+def embedded_state_scan(s, d):
+    """Listings written as a page's cache of products, shops and cities by reference, and read back over two references; shops of every third letter have no city."""
+    r = T(s, d, "product_matches").where("source IS NOT NULL AND id IS NOT NULL AND product_id IS NOT NULL").select("id", "source", (F.col("product_id") % 20).alias("page"))
+    node = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    shop = F.concat(F.lit("s:"), F.col("source"))
+    rows = r.select("page", node(F.concat(F.lit("p:"), F.col("id")), F.to_json(F.struct(shop.alias("shop")))).alias("n"))
+    rows = rows.unionByName(r.select("page", "source").distinct().select("page", node(shop, F.to_json(F.struct(F.concat(F.lit("c:"), F.substring("source", 1, 1)).alias("city")))).alias("n")))
+    rows = rows.unionByName(r.select("page", F.substring("source", 1, 1).alias("i")).distinct().where(F.ascii("i") % 3 != 0).select("page", node(F.concat(F.lit("c:"), F.col("i")), F.to_json(F.struct(F.col("i").alias("name")))).alias("n")))
+    html = rows.groupBy("page").agg(F.concat(F.lit("<script>STATE="), F.to_json(F.map_from_entries(F.collect_list("n"))), F.lit("</script>")).alias("html"))
+    got = pages.follow_all(pages.embedded_state(html.select(F.col("page").cast("string").alias("url"), "html"), r"STATE=(\{.*\})</script>"), ["$.shop", "$.city"], "p:")
+    return got.groupBy("url", F.get_json_object("found", "$.name").alias("city"), "error").agg(F.count("*").alias("n"))
+
+
 def first_wins_walk(s, d):
     """Handles of the category walk, the first entry of each by page."""
     c = T(s, d, "category_listings").where("handle IS NOT NULL").select("handle", "page_no", "id")
@@ -87,10 +114,13 @@ def stream_changes(s, d):
     return twins.run_to_end(twins.changes_only(r, "listing", "at", "content_hash"), s, "append", "changes").groupBy("listing").agg(F.count("*").alias("stored"))
 
 
-QUERIES = {f.__name__: f for f in (json_page_scan, first_wins_walk, pages_read, idempotent_upsert, sync_actions, append_new_titles, backfill_counts, stream_tumbling, stream_dedup, stream_changes)}
+QUERIES = {f.__name__: f for f in (json_page_scan, html_card_scan, embedded_state_scan, first_wins_walk, pages_read, idempotent_upsert, sync_actions, append_new_titles, backfill_counts, stream_tumbling, stream_dedup, stream_changes)}
 
 SQL = {
     "json_page_scan": "select url, count(*) variants, count(distinct id) products, count(*) filter (try_cast(v.price as decimal(12,2)) > 0) priced from (select concat_ws('/', source, cast(page_no as varchar)) url, id, title, unnest(variants) v from category_listings) where title is not null and v.id is not null group by 1",
+    "html_card_scan": """with c as (select id, concat_ws('/', source, page_no) url, title, case when length(title) is null then 0 else 1 end t, variants[1].price p, trim(variants[1].price) q from category_listings where id is not null and source is not null and page_no is not null)
+        select url, count(*) cards, cast(sum(t) as bigint) titled, count(*) filter ((id % 7 = 0 and try_cast(p as decimal(12,2)) is distinct from 1.01)) wrong, cast(0 as bigint) broken from c group by 1""",
+    "embedded_state_scan": """select cast(product_id % 20 as varchar) url, case when ascii(source) % 3 <> 0 then left(source, 1) end city, case when ascii(source) % 3 = 0 then 'dangling at step 2' end as error, count(*) n from product_matches where source is not null and id is not null and product_id is not null group by all""",
     "first_wins_walk": "select handle, page_no, id from (select handle, page_no, id, row_number() over (partition by handle order by page_no, id) k from category_listings where handle is not null) where k = 1",
     "pages_read": """with recursive c as (select source, page_no, count(*) n, count(vendor) = 0 failed, row_number() over (partition by source order by page_no) k from category_listings where source is not null and page_no is not null group by 1, 2),
         w as (select source, k, case when failed then 1 else 0 end streak, (not failed and n < 5) stop from c where k = 1 union all select c.source, c.k, case when c.failed then w.streak + 1 else 0 end, (not c.failed and c.n < 5) or (c.failed and w.streak + 1 >= 3) from w join c on c.source = w.source and c.k = w.k + 1 where not w.stop)

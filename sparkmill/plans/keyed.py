@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkmill.operators import keyed as K
+from sparkmill.operators import similarity as V
 from sparkmill.session import table as T
 
 _UTC = "cast({} at time zone 'UTC' as date)"
@@ -185,10 +186,8 @@ def best_per_shop(s, d):
 
 def current_price(s, d):
     """Each listing's current row: newest day, in stock first, cheapest, least id; none if it is older than its shop's newest day by more than a week."""
-    from pyspark.sql import Window
-
     r = T(s, d, "raw_listings").where("source IS NOT NULL AND external_id IS NOT NULL AND collected_date IS NOT NULL").select("source", "external_id", "collected_date", "in_stock", F.col("price").cast("double").alias("price"), "id", "excluded_reason")
-    r = r.withColumn("newest", F.max("collected_date").over(Window.partitionBy("source")))
+    r = r.join(r.groupBy("source").agg(F.max("collected_date").alias("newest")), "source")
     r = r.where("excluded_reason IS NULL AND collected_date >= date_sub(newest, 7)")
     order = [F.desc("collected_date"), F.desc(F.coalesce("in_stock", F.lit(False))), F.asc_nulls_last("price"), F.asc("id")]
     return K.ranked(r, ["source", "external_id"], order, 1).select("source", "external_id", "id", "price")
@@ -221,10 +220,12 @@ def quantity_interval_overlap(s, d):
 
 
 def nearest_scalar_subquery(s, d):
-    """Products of at least the catalogue's mean price."""
-    p = T(s, d, "products")
-    p.createOrReplaceTempView("_products_now")
-    return s.sql("SELECT id FROM _products_now WHERE CAST(current_price AS DOUBLE) >= (SELECT avg(CAST(current_price AS DOUBLE)) FROM _products_now)")
+    """The ten vectors nearest by cosine to the vector that a scalar subquery gives: the one with the least id."""
+    e = T(s, d, "embeddings").where("vec_id IS NOT NULL")
+    q = e.select(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q"))
+    e = e.withColumn("q", q.scalar())
+    far = F.round(1 - V.cosine(F.col("embedding"), F.col("q.embedding")), 6)
+    return e.where("vec_id <> q.vec_id").select("vec_id", far.alias("distance")).orderBy(F.asc_nulls_last("distance"), "vec_id").limit(10)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -271,5 +272,5 @@ SQL = {
     "superseded_observation": "select id, strftime(m, '%Y-%m-%d') newest from (select *, max(price_date) over (partition by product_id, source) m from product_matches where product_id is not null and source is not null) where price_date < m",
     "occurrence_ordinal": "select pair_id, occurrence_id, row_number() over (partition by pair_id order by occurrence_id nulls first) - 1 as ordinal from (select distinct pair_id, occurrence_id from phase3_labels where pair_id is not null)",
     "quantity_interval_overlap": "select distinct p.id product_id, n.id norm_id from products p join norm_listings n on lower(trim(p.brand)) = lower(trim(n.brand)) where p.net_weight_g > 0 and n.net_weight_g > 0 and cast(n.net_weight_g as bigint) * 10 >= cast(p.net_weight_g as bigint) * 9 and cast(n.net_weight_g as bigint) * 10 <= cast(p.net_weight_g as bigint) * 11",
-    "nearest_scalar_subquery": "select id from products where cast(current_price as double) >= (select avg(cast(current_price as double)) from products)",
+    "nearest_scalar_subquery": "with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings where vec_id is not null) select vec_id, round(1 - list_cosine_similarity(v, (select v from e order by vec_id limit 1)), 6) distance from e where vec_id <> (select min(vec_id) from e) order by distance nulls last, vec_id limit 10",
 }

@@ -53,9 +53,9 @@ def token_filter(s, d):
 
 
 def like_any(s, d):
-    t = T(s, d, "raw_listings").where("title IS NOT NULL")
-    t.createOrReplaceTempView("_titles_now")
-    return s.sql("SELECT source, count(*) AS n FROM _titles_now WHERE lower(title) LIKE ANY ('%gratuit%', '%reducere%', '%promo%') AND lower(title) NOT LIKE '%transport%' GROUP BY source")
+    low = F.lower("title")
+    some = low.like("%gratuit%") | low.like("%reducere%") | low.like("%promo%")
+    return T(s, d, "raw_listings").where(some & ~low.like("%transport%")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def size_rank_overlap(s, d):

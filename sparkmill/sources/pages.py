@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tomllib
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkmill.functions.columns import money as amount
+
 #: The JSON of a shop's product page.
 PRODUCTS_PAGE = (
     "products array<struct<id:bigint,title:string,handle:string,vendor:string,product_type:string,"
@@ -27,8 +31,8 @@ def json_products(pages: DataFrame, body: str = "body", url: str = "url") -> Dat
     plain = F.lower(F.trim(F.coalesce("v.title", F.lit("")))).isin("", "default title", "standard")
     title = F.when(plain, F.col("x.title")).otherwise(F.concat_ws(" - ", "x.title", "v.title"))
     link = F.concat(F.lit("/products/"), F.coalesce("x.handle", F.lit("")), F.when(F.col("n") > 1, F.concat(F.lit("?variant="), F.col("v.id").cast("string"))).otherwise(""))
-    amount = lambda c: F.when(c.try_cast("decimal(12,2)") > 0, c.try_cast("decimal(12,2)"))
-    rows = v.select("url", "position", F.col("x.id").alias("product_id"), F.col("v.id").alias("variant_id"), title.alias("title"), link.alias("link"), amount(F.col("v.price")).alias("price"), amount(F.col("v.compare_at_price")).alias("compare_at"))
+    positive = lambda c: F.when(c.try_cast("decimal(12,2)") > 0, c.try_cast("decimal(12,2)"))
+    rows = v.select("url", "position", F.col("x.id").alias("product_id"), F.col("v.id").alias("variant_id"), title.alias("title"), link.alias("link"), positive(F.col("v.price")).alias("price"), positive(F.col("v.compare_at_price")).alias("compare_at"))
     return rows.unionByName(bad, allowMissingColumns=True)
 
 
@@ -39,6 +43,26 @@ def html_cards(pages: DataFrame, card: str, fields: dict[str, str], html: str =
     return c.select("url", "position", *[text(e).alias(k) for k, e in fields.items()])
 
 
+def attribute_cards(pages: DataFrame, card: str, attribute: str, fields: dict[str, str], shown_price: str | None = None, html: str = "html", url: str = "url") -> DataFrame:
+    """url, position, the named fields and error of every card of a page whose data stand in an attribute as JSON.
+
+    attribute is a regular expression of a card whose first group is the JSON, its quotes written as entities or not; each field is a path in it. error is
+    null, "no data" (no attribute, or no JSON in it), or "price" where shown_price, a regular expression of the price as shown, gives another amount than the field
+    price. A bad card is a row with its error and never fails the page; a null page has no cards.
+    """
+    c = pages.select(F.col(url).alias("url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(card), F.lit(0))).alias("position", "card"))
+    plain = F.regexp_extract("card", attribute, 1)
+    for entity, sign in {"&quot;": '"', "&#34;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}.items():
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    c = c.withColumn("_json", F.from_json(plain, "map<string,string>", {"mode": "PERMISSIVE"})).withColumn("_text", plain)
+    values = {k: F.get_json_object("_text", p) for k, p in fields.items()}
+    error = F.when(F.col("_json").isNull() | (F.size("_json") == 0), "no data")
+    if shown_price is not None:
+        shown = amount(F.regexp_extract("card", shown_price, 1))
+        error = error.when(shown.isNotNull() & ~shown.eqNullSafe(values["price"].try_cast("decimal(12,2)")), "price")
+    return c.select("url", "position", *[v.alias(k) for k, v in values.items()], error.alias("error"))
+
+
 def embedded_state(pages: DataFrame, marker: str, html: str = "html", url: str = "url") -> DataFrame:
     """url, key, node: the objects of a JSON cache that a page embeds after a marker (a regular expression whose first group is the JSON); node is the object's JSON text."""
     cache = F.from_json(F.regexp_extract(F.col(html), marker, 1), "map<string,string>")
@@ -52,6 +76,20 @@ def follow(nodes: DataFrame, path: str, name: str) -> DataFrame:
     return at.join(target, ["url", "_ref"], "left").drop("_ref")
 
 
+def follow_all(nodes: DataFrame, steps: list[str], start: str) -> DataFrame:
+    """url, key, found, error of every node whose key begins with start: the node at the end of a chain of references, each step a path in the node that the step before has found.
+
+    A chain that ends early has found null, and error names the step: "no reference" where the path gives none, "dangling" where nothing has the key that it names.
+    """
+    at = nodes.where(F.col("key").startswith(start)).withColumns({"found": F.col("node"), "error": F.lit(None).cast("string")}).select("url", "key", "found", "error")
+    target = nodes.select("url", F.col("key").alias("_ref"), F.col("node").alias("_next"))
+    for n, path in enumerate(steps, 1):
+        j = at.withColumn("_ref", F.get_json_object("found", path)).join(target, ["url", "_ref"], "left")
+        why = F.when(F.col("_ref").isNull(), f"no reference at step {n}").when(F.col("_next").isNull(), f"dangling at step {n}")
+        at = j.select("url", "key", F.col("_next").alias("found"), F.coalesce("error", why).alias("error"))
+    return at
+
+
 def first_wins(rows: DataFrame, key: str, order: list[str], most: int | None = None) -> DataFrame:
     """The first row of every key in the walk's order, and of these the first ones up to the asked number."""
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_k = 1").drop("_k")
@@ -104,13 +142,23 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table, or an empty one of the schema if it is missing or can't be read."""
+    """A Parquet table, or an empty one of the schema if it is missing or its rows can't be read; one row is read to tell."""
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:
+        df = spark.read.schema(schema).parquet(path)
+        df.limit(1).collect()
+        return df
+    except (PySparkException, Py4JJavaError) as e:
+        if not any(reason in str(e) for reason in ("PATH_NOT_FOUND", "FAILED_READ_FILE")):
+            raise
         return spark.createDataFrame([], schema)
 
 
+def table_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """name, bytes of every Parquet table of a folder, one file or many; only files' names and lengths are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    return files.groupBy(F.regexp_extract("path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1).alias("name")).agg(F.sum("length").alias("bytes"))
+
+
 def file_sizes(df: DataFrame) -> DataFrame:
     """file, bytes of the files a DataFrame is read from."""
     return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
