@@ -224,7 +224,7 @@ def _set_cell(letters: str) -> Column:
     return F.xxhash64(F.lit("letters"), F.col(letters))
 
 
-#: The index's tables. cells and forms lie in files by the number of their cell.
+#: The index's tables. cells, sets and forms lie in files by the number of their cell.
 _TABLES = {
     "kinds": _KIND,
     "names": "name string",
@@ -233,6 +233,7 @@ _TABLES = {
     "near_words": "word string, other string",
     "forms": "word string, key bigint, cell int",
     "cells": "name string, " + ", ".join(f"{c} bigint" for c in VECTOR) + ", key bigint, cell int",
+    "sets": "name string, key bigint, cell int",
 }
 
 
@@ -281,7 +282,7 @@ class OfferIndex:
 
     def _write(self, df: DataFrame, what: str, folder: str) -> DataFrame:
         to = f"{self.path}/{what}/folder={folder}"
-        if what in ("cells", "forms"):
+        if what in ("cells", "sets", "forms"):
             df = df.withColumn("cell", F.pmod("key", F.lit(self.state["cells"])).cast("int")).repartition("cell")
             df.write.mode("overwrite").partitionBy("cell").parquet(to)
         else:
@@ -316,15 +317,17 @@ class OfferIndex:
         n = counts.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
         rare = rarest(each, n, "name", 2)
         alike = rare.where("k = 1").join(near, "word").select("name", F.col("other").alias("word"))
-        probes = rare.select("name", "word").unionByName(alike).select("name", _word_cell("word").alias("key"))
-        probes = probes.unionByName(names.select("name", F.explode("sets").alias("s")).select("name", _set_cell("s").alias("key"))).distinct()
-        probes = cut(probes.join(names.select("name", *VECTOR), "name").select(F.col("name").alias("q"), "key", *[F.col(c).alias(f"q_{c}") for c in VECTOR]))
-        words = names.select("name", *VECTOR, F.explode("words").alias("w")).select("name", *VECTOR, _word_cell("w").alias("key"))
-        sets = names.select("name", *VECTOR, F.explode("sets").alias("s")).select("name", *VECTOR, _set_cell("s").alias("key"))
-        own = self._write(words.unionByName(sets), "cells", folder)
+        vectors = names.select("name", *VECTOR)
+        probes = rare.select("name", "word").unionByName(alike).select("name", _word_cell("word").alias("key")).distinct()
+        probes = cut(probes.join(vectors, "name").select(F.col("name").alias("q"), "key", *[F.col(c).alias(f"q_{c}") for c in VECTOR]))
+        own = self._write(names.select("name", *VECTOR, F.explode("words").alias("w")).select("name", *VECTOR, _word_cell("w").alias("key")), "cells", folder)
         members = self._probed("cells", probes).unionByName(own).select("name", "key", *VECTOR)
-        met = probes.join(members, "key").where((F.col("q") != F.col("name")) & within("q_", "")).select("q", "name").distinct()
-        return met.where(_same_words("q", "name"))
+        met = probes.join(members, "key").where((F.col("q") != F.col("name")) & within("q_", "")).select("q", "name")
+        # names that share a letter set are few and near: these cells need no vectors
+        sets = self._write(names.select("name", F.explode("sets").alias("s")).select("name", _set_cell("s").alias("key")), "sets", folder)
+        asked = sets.select(F.col("name").alias("q"), "key")
+        regrouped = asked.join(self._probed("sets", asked).unionByName(sets).select("name", "key"), "key").where("q <> name").select("q", "name")
+        return met.unionByName(regrouped).distinct().where(_same_words("q", "name"))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """first_id, offer_id of every offer of the batch that repeats one accepted before or with a smaller id in the batch; then appends what is new.

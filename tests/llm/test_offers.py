@@ -95,7 +95,7 @@ def linked(spark, index, names):
     index._write(read.select("name"), "names", folder)
     near = cut(index._search(read, *index._learn_words(read, folder), folder))
     index._write(near, "links", folder)
-    for t in ("names", "links", "words", "near_words", "forms", "cells"):
+    for t in ("names", "links", "words", "near_words", "forms", "cells", "sets"):
         index.state["tables"][t].append([folder, 0])
     return {(r["q"], r["name"]) for r in near.collect()}
 
