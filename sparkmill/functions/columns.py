@@ -91,11 +91,15 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.when((F.size(q) > 0) & (F.size(F.array_except(q, t)) == 0), F.size(q) / F.size(t)).otherwise(0.0)
 
 
+#: The intervals of sizes that codes mean.
+SIZE_RANKS = {"XS": (0, 0), "S": (1, 1), "M": (2, 2), "L": (3, 3), "XL": (4, 4), "MINI": (0, 1), "MEDIUM": (2, 2), "MAXI": (3, 4)}
+
+
 def size_rank(c: Column) -> Column:
-    """The interval of sizes that a code such as XS-S, M or L-XL means, as a struct lo, hi; null if it is none."""
-    rank = F.create_map(*[F.lit(x) for kv in {"XS": 0, "S": 1, "M": 2, "L": 3, "XL": 4, "MINI": 0, "MEDIUM": 2, "MAXI": 3}.items() for x in kv])
+    """The interval of sizes that a code such as XS-S, M, Mini or L-XL means, as a struct lo, hi; null if it is none."""
+    low, high = (F.create_map(*[F.lit(x) for k, v in SIZE_RANKS.items() for x in (k, v[i])]) for i in (0, 1))
     parts = F.split(F.upper(F.trim(c)), "-")
-    lo, hi = rank[F.element_at(parts, 1)], rank[F.element_at(parts, -1)]
+    lo, hi = low[F.element_at(parts, 1)], high[F.element_at(parts, -1)]
     return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(F.least(lo, hi).alias("lo"), F.greatest(lo, hi).alias("hi")))
 
 

@@ -99,6 +99,10 @@ _PARTS = {"½": Fraction(1, 2), "¼": Fraction(1, 4), "¾": Fraction(3, 4)}
 NUMBER = r"(?:(?:\d{1,3}\s)?\d{1,2}/\d{1,2}(?![\d/])|\d+(?:[.,]\d+)*\s?[½¼¾]?|[½¼¾])"
 
 
+#: Characters of the longest number that is read; longer runs of digits are no amounts.
+LONGEST = 40
+
+
 def parse_number(text: str, small_unit: bool = False) -> Fraction | None:
     """A number as typed: ``1.5``, ``1,5``, ``12.500`` (12500 before a small unit), ``1.234,5``, ``2½``, ``1/2``, ``1 1/2``.
 
@@ -106,6 +110,8 @@ def parse_number(text: str, small_unit: bool = False) -> Fraction | None:
     once: thousands if exactly three digits follow, at most three (not a lone 0) go before and the unit is small, else decimal.
     """
     s = text.strip()
+    if len(s) > LONGEST:
+        return None
     part = Fraction(0)
     if s and s[-1] in _PARTS:
         part, s = _PARTS[s[-1]], s[:-1].strip()

@@ -168,7 +168,8 @@ SQL = {
         from (select distinct occurrence_id, left_content_hash, right_content_hash from phase3_labels where occurrence_id is not null) p join f a on a.h = left_content_hash join f b on b.h = right_content_hash""",
     "token_filter": f"select id, word from (select id, case when p like '% somon %' then 'somon' when p like '% salmon %' then 'salmon' when p like '% pui %' then 'pui' when p like '% chicken %' then 'chicken' end word from (select id, ' ' || regexp_replace({_FOLD.format('title')}, '[^a-z0-9]+', ' ', 'g') || ' ' p from raw_listings where title is not null)) where word is not null",
     "like_any": "select source, count(*) n from raw_listings where (lower(title) like '%gratuit%' or lower(title) like '%reducere%' or lower(title) like '%promo%') and lower(title) not like '%transport%' group by 1",
-    "size_rank_overlap": """with m as (select map {'XS': 0, 'S': 1, 'M': 2, 'L': 3, 'XL': 4, 'MINI': 0, 'MEDIUM': 2, 'MAXI': 3} m), n as (select id, brand_blocking_key b, m[string_split(upper(trim(breed_size_code)), '-')[1]] x, m[string_split(upper(trim(breed_size_code)), '-')[-1]] y from (select brand_blocking_key, breed_size_code, min(id) id from norm_listings group by 1, 2), m
+    "size_rank_overlap": """with m as (select map {'XS': 0, 'S': 1, 'M': 2, 'L': 3, 'XL': 4, 'MINI': 0, 'MEDIUM': 2, 'MAXI': 3} l, map {'XS': 0, 'S': 1, 'M': 2, 'L': 3, 'XL': 4, 'MINI': 1, 'MEDIUM': 2, 'MAXI': 4} h),
+        n as (select id, brand_blocking_key b, l[string_split(upper(trim(breed_size_code)), '-')[1]] x, h[string_split(upper(trim(breed_size_code)), '-')[-1]] y from (select brand_blocking_key, breed_size_code, min(id) id from norm_listings group by 1, 2), m
         where brand_blocking_key <> '' and breed_size_code is not null) select a.id id_a, b.id id_b, least(a.x, a.y) <= greatest(b.x, b.y) and least(b.x, b.y) <= greatest(a.x, a.y) meet from n a join n b on a.b = b.b and a.id < b.id""",
     "json_payload_fields": "select source, count(*) payloads, count(json_extract_string(raw_payload, '$.price')) priced from raw_listings where raw_payload is not null group by 1",
     "lexical_rank": f"""with q as (select id q, list_filter({_WORDS.format('title')}, lambda w: length(w) > 6)[1:2] ws from products), n as (select id i, {_WORDS.format('sample_title')} t from norm_listings), inv as (select i, t, unnest(t) w from n),

@@ -2,10 +2,10 @@ import os
 
 import pytest
 
-from sparkmill.plans import aggregates, data, ingest, keyed, listings, series, text
+from sparkmill.plans import aggregates, checks, data, ingest, keyed, listings, series, text
 from tests.agreement import DATA, agree, duck
 
-GROUPS = [data, keyed, series, aggregates, text, ingest, listings]
+GROUPS = [data, keyed, series, aggregates, text, ingest, listings, checks]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 

@@ -44,6 +44,7 @@ from sparkmill.operators.units_normalize import canonical_quantity, disagreeing,
         ("Taurina 250mg, 100 g", (100, None, None, None)),
         ("5000 mg", (5, None, None, None)),
         ("250 mg", (None, None, None, None)),
+        ("9" * 5000 + " kg, 2 kg", (2000, None, None, None)),
         ("40 xilograme", (40000, None, None, None)),
         (None, (None, None, None, None)),
         ("", (None, None, None, None)),
