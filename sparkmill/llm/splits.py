@@ -44,11 +44,12 @@ def proper_pair_id(nodes: str = "nodes") -> Column:
 
 
 def with_components(df: DataFrame, nodes: str = "nodes") -> DataFrame:
-    """Adds component: the smallest node that the row is linked to. A row without nodes is in no component (null)."""
+    """Adds component: a 64-bit id that all rows linked by nodes have in common, the least hash of their nodes. A row without nodes is in no component (null)."""
     df = df.drop("component")
-    first, last = F.try_element_at(nodes, F.lit(1)), F.try_element_at(nodes, F.lit(-1))
+    ids = F.transform(nodes, lambda n: F.xxhash64(n))
+    first, last = F.try_element_at(ids, F.lit(1)), F.try_element_at(ids, F.lit(-1))
     ends = df.where(F.size(nodes) > 0).select(first.alias("x"), last.alias("y"))
-    extra = df.where(F.size(nodes) > 2).select(F.explode(nodes).alias("x"), first.alias("y"))
+    extra = df.where(F.size(nodes) > 2).select(F.explode(ids).alias("x"), first.alias("y"))
     comps = connected_components(ends.unionByName(extra), "x", "y")
     return df.withColumn("_n", F.when(F.size(nodes) > 0, first)).join(comps.select(F.col("node").alias("_n"), "component"), "_n", "left").drop("_n")
 
@@ -179,7 +180,7 @@ def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """occurrence_id, component, split, rows: a split of all rows near 70, 15 and 15 percent that never separates linked rows."""
     rows = pair_nodes(table(spark, sf_dir, "phase3_labels").select("pair_id", "occurrence_id", "tier", "left_content_hash", "right_content_hash"))
     rows = with_components(rows)
-    rows = cut(rows.withColumn("component", F.coalesce("component", F.concat(F.lit("row-"), F.coalesce("occurrence_id", F.lit(""))))))
+    rows = cut(rows.withColumn("component", F.coalesce("component", F.xxhash64(F.lit("row"), F.coalesce("occurrence_id", F.lit(""))))))
     tiers = rows.groupBy("component", F.coalesce("tier", F.lit("")).alias("tier")).agg(F.count("*").alias("n"))
     comps = tiers.groupBy("component").agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("tier", "n"))).alias("labels"))
     return rows.join(split_components(cut(comps)), "component").groupBy("occurrence_id", "component", "split").agg(F.count("*").alias("rows"))

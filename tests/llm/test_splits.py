@@ -18,8 +18,9 @@ def test_nodes_and_components(spark):
         (f"{H[4][:16]}_{H[5][:16]}", "o3", None, H[4], None, "x"), (None, "o4", "test", H[6], None, "x"), (None, "o5", "odd", None, None, "x"), (None, "o1", " Train ", H[1], H[2], "x"),
     ]
     got = {r["occurrence_id"]: (r["component"], r["s"]) for r in with_components(pair_nodes(labels(spark, rows))).withColumn("s", split_name(F.col("split"))).collect()}
-    n = [h[:16] for h in H]
-    assert got == {"o1": (n[1], "train"), "o2": (n[1], "validation"), "o3": (n[4], None), "o4": (n[6], "test"), "o5": (None, None)}
+    assert {o: s for o, (_, s) in got.items()} == {"o1": "train", "o2": "validation", "o3": None, "o4": "test", "o5": None}
+    of = {o: c for o, (c, _) in got.items()}
+    assert of["o1"] == of["o2"] and len({of["o1"], of["o3"], of["o4"]}) == 3 and of["o5"] is None and None not in (of["o1"], of["o3"], of["o4"])
     assert with_components(pair_nodes(labels(spark, []))).count() == 0
 
 
