@@ -3,15 +3,14 @@
 A text is reduced to what a person would have written: code, quotes, navigation
 and page frames off. What is left is read line by line. A document is trusted residue if every line after at most a
 heading is a notice, an error, filler or an unfilled template, or if its prose has unfilled places. The labels then spread: bodies
-of documents that are near-duplicates (five-word shingles of similarity 0.8, found without loss over the rarest
-shingles of each body) form connected components, and a component takes the label of its trusted members.
+of documents that are near-duplicates (five-word shingles of similarity 0.8, found without loss over the first
+shingles of each body in one order) form connected components, and a component takes the label of its trusted members.
 
 Bodies are compared once each however many documents share them, so hot groups of copies cost nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 import unicodedata
@@ -21,7 +20,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.operators.graph import connected_components
 from sparkmill.session import cut, spread, table
 
 #: Words in a shingle; the least similarity of near-duplicates as a fraction, so that it is compared in whole numbers.
@@ -199,16 +197,6 @@ def _asks(lines: list[str]) -> bool:
     return any("?" in x for x in lines) or len(lines) <= 3
 
 
-def simhash(words: list[str]) -> int:
-    """64 bits, each the sign of the sum over the words and their pairs. A fingerprint only: bodies of similarity 0.8 lie too many bits apart for it to find candidates."""
-    sums = [0] * 64
-    for f in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
-        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
-        for i in range(64):
-            sums[i] += 1 if h >> i & 1 else -1
-    return sum(1 << i for i in range(64) if sums[i] > 0)
-
-
 def shingles(body: str) -> set[str]:
     w = body.split()
     return {" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
@@ -226,48 +214,61 @@ def read_documents(docs: DataFrame) -> DataFrame:
     return spread(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id").mapInPandas(run, schema)
 
 
-def near_bodies(bodies: DataFrame, key: str = "body") -> DataFrame:
-    """a, b: the keys a < b of all pairs of different bodies (key, body) whose shingles have a Jaccard similarity of at least SIMILAR / OF.
-
-    With the shingles of all bodies in one order, the rarest first, two such bodies of m and n shingles share
-    one of their first m - ceil(0.8 m) + 1 and n - ceil(0.8 n) + 1; so no pair is missed, and common shingles hardly ever meet.
-    Shingles are known by 64-bit hashes.
-    """
-    words = F.split("body", " ")
+def shingle_sets(bodies: DataFrame, key: str = "body") -> DataFrame:
+    """key, n, set: the different shingles of each body as 64-bit hashes in order, and their number."""
+    sets = bodies.select(F.col(key).alias("key"), F.split("body", " ").alias("ws"))
     last = F.greatest(F.size("ws") - SHINGLE + 1, F.lit(1))
-    sets = bodies.select(F.col(key).alias("key"), words.alias("ws"))
-    sets = sets.select("key", F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, SHINGLE), " ")))).alias("set"))
-    sets = cut(sets.withColumn("n", F.size("set")))
-    each = sets.select("key", "n", F.explode("set").alias("s"))
-    shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles of one body come first in the order and meet none: only their number counts
-    ordered = each.join(shared, "s").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    sets = sets.select("key", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, SHINGLE), " "))))).alias("set"))
+    return sets.select("key", F.size("set").alias("n"), "set")
+
+
+def _beginnings(sets: DataFrame) -> DataFrame:
+    """key, n, at, s: of each body's n shingles the first n - ceil(0.8 n) + 1 with their places from 0."""
     first = F.floor(F.col("n") * (OF - SIMILAR) / OF).cast("int") + 1
-    alone = F.col("n") - F.size("o")
-    heads = ordered.select("key", "n", alone.alias("alone"), F.slice("o", F.lit(1), F.greatest(first - alone, F.lit(0))).alias("o"))
-    heads = heads.select("key", "n", "alone", F.posexplode("o").alias("at", "e")).select("key", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("e.s").alias("s"))
-    x, y = heads.alias("x"), heads.alias("y")
+    return sets.select("key", "n", F.posexplode(F.slice("set", F.lit(1), first)).alias("at", "s"))
+
+
+def near_bodies(from_: DataFrame, to: DataFrame) -> DataFrame:
+    """a, b: all pairs of a body of one table of shingle_sets and a different one of the other with a Jaccard similarity of at least SIMILAR / OF.
+
+    With all shingles in one order (that of their hashes), two such bodies of m and n shingles share one of their first m - ceil(0.8 m) + 1 and n - ceil(0.8 n) + 1, so
+    no pair is missed; a fifth of the shingles is moved, and what can't reach the similarity from where the two meet is dropped there. Candidates are verified exactly.
+    """
+    x, y = _beginnings(from_).alias("x"), _beginnings(to).alias("y")
     # at most this many are shared: as many before as the one that has fewer, and as many from here on
     most = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     can = (OF + SIMILAR) * most >= SIMILAR * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.key") < F.col("y.key")) & can).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("p")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("q")), "b")
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.key") != F.col("y.key")) & can).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    pairs = pairs.join(from_.select(F.col("key").alias("a"), F.col("set").alias("p")), "a").join(to.select(F.col("key").alias("b"), F.col("set").alias("q")), "b")
     both = F.size(F.array_intersect("p", "q"))
     return pairs.where((OF + SIMILAR) * both >= SIMILAR * (F.size("p") + F.size("q"))).select("a", "b")
 
 
+def spread_labels(bodies: DataFrame) -> DataFrame:
+    """key of every body (key, whole, body; different bodies) in a connected component of near-duplicates that holds one with whole set.
+
+    The components are walked from these: each step looks from the bodies that were reached last at those that were not reached yet, so bodies
+    that are labelled already never meet each other, and components without a label are not built. Ends when a step reaches none.
+    """
+    sets = cut(shingle_sets(bodies, "key"))
+    last = cut(bodies.where("whole").select("key"))
+    reached = last
+    while True:
+        open_ = sets.join(reached, "key", "left_anti")
+        found = cut(near_bodies(sets.join(last, "key", "left_semi"), open_).select(F.col("b").alias("key")).distinct())
+        if not found.head(1):
+            return reached
+        last, reached = found, cut(reached.unionByName(found))
+
+
 def residue(docs: DataFrame) -> DataFrame:
-    """doc_id, reason of every document that is residue: "trusted", "unfilled" or "near" (a near-duplicate of trusted ones).
+    """doc_id, reason of every document that is residue: "trusted", "unfilled" or "near" (in a component of near-duplicates with a trusted one).
 
     Bodies are known by 64-bit hashes, so components hold no texts. Empty, blank and null texts are none. Other columns are ignored; repeated ids give one row each reason.
     """
     read = cut(read_documents(docs).withColumn("key", F.when(F.col("body") != "", F.xxhash64("body"))))
-    bodies = cut(read.where("key IS NOT NULL").groupBy("key").agg(F.max("whole").alias("whole"), F.first("body").alias("body")))
-    pairs = cut(near_bodies(bodies.select("key", "body"), "key"))
-    seeds = bodies.where("whole").select("key")
-    comps = cut(connected_components(pairs, "a", "b"))
-    marked = comps.join(seeds.select(F.col("key").alias("node")), "node").select("component").distinct()
-    near = comps.join(marked, "component", "left_semi").select(F.col("node").alias("key")).unionByName(seeds).distinct().withColumn("near", F.lit(True))
+    bodies = read.where("key IS NOT NULL").groupBy("key").agg(F.max("whole").alias("whole"), F.first("body").alias("body"))
+    near = spread_labels(cut(bodies)).withColumn("near", F.lit(True))
     return read.join(near, "key", "left").select("doc_id", F.when(F.col("whole"), "trusted").when(F.col("open"), "unfilled").when(F.col("near"), "near").alias("reason")).where("reason IS NOT NULL")
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sparkmill.llm.residue import near_bodies, residue, shingles, simhash, trusted
+from sparkmill.llm.residue import near_bodies, residue, shingle_sets, shingles, spread_labels, trusted
 
 BAD = [
     "404 Not Found\nnginx/1.27.5", "Please enable JavaScript in your browser to continue.", "About Contact Home\nThis forum works best with JavaScript enabled. Loading…", "How do I store a bag?\n\nLorem ipsum dolor sit amet, Hipuk tol fitum brekart kar.",
@@ -38,10 +38,9 @@ def test_table_and_spread(spark):
 def test_near_bodies(spark):
     a = " ".join(f"w{i}" for i in range(60))
     bodies = [a, a + " tail", " ".join(f"v{i}" for i in range(60))]
-    h = [(b, x - (1 << 64) if x >> 63 else x) for b in bodies for x in [simhash(b.split())]]
-    got = [(r["a"], r["b"]) for r in near_bodies(spark.createDataFrame(h, "body string, hash bigint")).collect()]
-    assert got in ([(a, a + " tail")], [])  # within three bits, or too far for the tables
-    assert near_bodies(spark.createDataFrame([], "body string, hash bigint")).count() == 0
+    sets = shingle_sets(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert {(r["a"], r["b"]) for r in near_bodies(sets, sets).collect()} == {(a, a + " tail"), (a + " tail", a)}
+    assert near_bodies(sets, sets.limit(0)).count() == near_bodies(sets.limit(0), sets).count() == 0
 
 
 def test_near_bodies_finds_what_brute_force_finds(spark):
@@ -59,9 +58,25 @@ def test_near_bodies_finds_what_brute_force_finds(spark):
     bodies = sorted(bodies)
     sets = [shingles(b) for b in bodies]
     want = {(a, b) for i, a in enumerate(bodies) for j, b in enumerate(bodies) if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
-    h = [(b, x - (1 << 64) if x >> 63 else x) for b in bodies for x in [simhash(b.split())]]
-    got = {(r["a"], r["b"]) for r in near_bodies(spark.createDataFrame(h, "body string, hash bigint")).collect()}
-    assert got == want and len(want) > 50
+    sets = shingle_sets(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    got = {(r["a"], r["b"]) for r in near_bodies(sets, sets).collect()}
+    assert got == want | {(b, a) for a, b in want} and len(want) > 50
+
+
+def test_labels_reach_whole_components(spark):
+    """Chains of near-duplicates of different lengths: what one label reaches, and nothing else."""
+    chain = lambda x, n: [" ".join(f"{x}{i}" for i in range(k, k + 60)) for k in range(0, 3 * n, 3)]
+    parts = [("a", chain("a", 9), 4), ("b", chain("b", 6), 0), ("c", chain("c", 5), None), ("d", chain("d", 1), 0)]
+    rows, want, key = [], set(), 0
+    for _, bodies, seed in parts:
+        for k, b in enumerate(bodies):
+            rows.append((key, k == seed, b))
+            if seed is not None:
+                want.add(key)
+            key += 1
+    df = spark.createDataFrame(rows, "key bigint, whole boolean, body string")
+    assert {r["key"] for r in spread_labels(df).collect()} == want
+    assert spread_labels(df.where("NOT whole")).count() == spread_labels(df.limit(0)).count() == 0
 
 
 def test_labels_spread_over_components(spark):
