@@ -45,6 +45,8 @@ VECTOR = [f"v{i}" for i in range((LETTER_BITS + DIMENSIONS) // 64)]
 LETTERS_APART, TRIGRAMS_APART = 3 * 2, 2 * 8 + 4 * 4
 #: Offers that a round of waiting batches holds at least, where there are so many.
 ROUND_OFFERS = 40_000
+#: Offers that a task reads, at most, on average.
+TASK_OFFERS = 20_000
 #: Files of the cells in a folder of the index; folders of one size that are merged into one.
 CELLS, FAN_IN = 8, 4
 
@@ -179,8 +181,8 @@ _OFFER = "offer_id int, name string, age string, ing string, w int, v int, n int
 _KIND = _OFFER + ", k1 bigint, k2 bigint, first_id int"
 
 
-def read_offers(batch: DataFrame) -> DataFrame:
-    """The offers as they are compared. A blank title is known by its content_hash alone."""
+def read_offers(batch: DataFrame, rows: int | None = None) -> DataFrame:
+    """The offers as they are compared. A blank title is known by its content_hash alone. A batch often lies in few of the files; where its number of rows is known, it is spread over so many tasks as that needs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -196,7 +198,9 @@ def read_offers(batch: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OFFER.split(", ")], dtype="object")
             yield out.astype({"offer_id": "int32", "w": "Int32", "v": "Int32", "n": "Int32", "b": "Int32"})
 
-    return spread(batch.select("offer_id", "title", "description", "content_hash").where("offer_id IS NOT NULL"), "offer_id").mapInPandas(run, _OFFER)
+    few = batch.select("offer_id", "title", "description", "content_hash").where("offer_id IS NOT NULL")
+    n = few.sparkSession.sparkContext.defaultParallelism
+    return (spread(few, "offer_id") if rows is None else few.repartition(max(n, -(-rows // TASK_OFFERS)), "offer_id")).mapInPandas(run, _OFFER)
 
 
 def read_names(names: DataFrame) -> DataFrame:
@@ -329,7 +333,7 @@ class OfferIndex:
         regrouped = asked.join(self._probed("sets", asked).unionByName(sets).select("name", "key"), "key").where("q <> name").select("q", "name")
         return met.unionByName(regrouped).distinct().where(_same_words("q", "name"))
 
-    def add(self, batch: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame, rows: int | None = None) -> DataFrame:
         """first_id, offer_id of every offer of the batch that repeats one accepted before or with a smaller id in the batch; then appends what is new.
 
         offer_id rises with arrival. Empty batches, repeated rows, null titles, descriptions and hashes are allowed; other columns are ignored.
@@ -339,7 +343,7 @@ class OfferIndex:
         parts = [x for c in attrs for x in (F.col(c).isNull(), F.col(c))]
         state = json.loads(json.dumps(self.state))
         folder = f"b{state['batches']}"
-        offers = cut(read_offers(batch).withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(2), *parts)}))
+        offers = cut(read_offers(batch, rows).withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(2), *parts)}))
         known_kinds = self.kinds()
         # a kind that came before is resolved already
         kinds = cut(offers.groupBy("k1", "k2", *attrs).agg(F.min("offer_id").alias("offer_id")).join(known_kinds.select("k1", "k2"), ["k1", "k2"], "left_anti"))
@@ -423,10 +427,10 @@ def deduplicate(offers: DataFrame, index: OfferIndex, batch: str = "batch_no", r
     """
     sizes = {r[0]: r[1] for r in offers.groupBy(batch).count().collect()}  # as many as there are batches
     rest = sizes.pop(None, 0)
-    parts = [offers.where(F.col(batch).isin(r)) for r in rounds(sizes, round_offers)]
+    parts = [(offers.where(F.col(batch).isin(r)), sum(sizes[n] for n in r)) for r in rounds(sizes, round_offers)]
     out = None
-    for part in parts + ([offers.where(F.col(batch).isNull())] if rest else []):
-        found = index.add(part)
+    for part, rows in parts + ([(offers.where(F.col(batch).isNull()), rest)] if rest else []):
+        found = index.add(part, rows)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else offers.select(F.col("offer_id").alias("first_id"), "offer_id").limit(0)
 
