@@ -85,12 +85,6 @@ def first_token_of(c: Column, words: list[str]) -> Column:
     return F.coalesce(*[F.when(F.instr(padded, f" {w} ") > 0, F.lit(w)) for w in words])
 
 
-def lexical_score(query: Column, text: Column) -> Column:
-    """Share of a text's words that are the query's, if it has all of the query's words, else 0."""
-    q, t = tokens(query), tokens(text)
-    return F.when((F.size(q) > 0) & (F.size(F.array_except(q, t)) == 0), F.size(q) / F.size(t)).otherwise(0.0)
-
-
 #: The intervals of sizes that codes mean.
 SIZE_RANKS = {"XS": (0, 0), "S": (1, 1), "M": (2, 2), "L": (3, 3), "XL": (4, 4), "MINI": (0, 1), "MEDIUM": (2, 2), "MAXI": (3, 4)}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,47 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
 
 
+#: Vectors of a side in one block, on average; two blocks are one task's matrix product.
+BLOCK_ROWS = 2_048
+
+
 def block_top_k(queries: DataFrame, items: DataFrame, block: str, q_id: str, i_id: str, vec: str, k: int) -> DataFrame:
-    """q_id, i_id, sim, rank: of each query the k nearest items of its block, itself left out; ties by i_id. Queries of a null block have none. The k rows are kept before the shuffle."""
-    a = queries.select(F.col(q_id).alias("q"), F.col(block).alias("blk"), unit(F.col(vec)).alias("u"))
-    b = items.select(F.col(i_id).alias("i"), F.col(block).alias("blk"), unit(F.col(vec)).alias("v"))
-    sims = a.join(b, "blk").where("q <> i").select("q", "i", F.round(dot(F.col("u"), F.col("v")), 6).alias("sim")).where("sim IS NOT NULL")
+    """q, i, sim, rank: of each query the k nearest items of its block, itself left out; ties by i. Queries of a null block, and vectors that are null or have no length, have none; vectors of one block have one length.
+
+    Either side of a block is cut into parts of bounded size, whatever the block holds; each part of the queries meets each of the items in one matrix product, of
+    which only the k best of a query go on, so that a query moves k rows a part.
+    """
+    a = queries.select(F.col(q_id).alias("q"), F.col(block).alias("blk"), F.col(vec).alias("v")).where("blk IS NOT NULL AND v IS NOT NULL")
+    b = items.select(F.col(i_id).alias("i"), F.col(block).alias("blk"), F.col(vec).alias("v")).where("blk IS NOT NULL AND v IS NOT NULL")
+    parts = lambda d, name: d.groupBy("blk").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    n = parts(a, "nq").join(parts(b, "ni"), "blk")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = a.join(n, "blk").select("blk", "q", "v", F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("x"), every("ni").alias("y"))
+    b = b.join(n, "blk").select("blk", "i", "v", F.pmod(F.xxhash64("i"), F.col("ni")).cast("int").alias("y"), every("nq").alias("x"))
+    kinds = dict(a.dtypes)["q"], dict(b.dtypes)["i"]
+
+    def unit_rows(d: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        v = np.stack([np.asarray(x, np.float64) for x in d["v"]]) if len(d) else np.zeros((0, 1))
+        size = np.sqrt((v * v).sum(1))
+        fine = size > 0
+        return d[fine], v[fine] / size[fine][:, None]
+
+    def meet(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        (qs, u), (its, v) = unit_rows(qs), unit_rows(its)
+        out = []
+        if len(qs) and len(its):
+            order = np.argsort(its["i"].to_numpy(), kind="stable")
+            ids, v = its["i"].to_numpy()[order], v[order]
+            sims = np.round(u @ v.T, 6) + 0.0
+            for q, row in zip(qs["q"].to_numpy(), sims):
+                row = np.where(ids == q, -np.inf, row)  # itself, however often it is there, comes last
+                near = np.argsort(-row, kind="stable")[:k]
+                out.append(pd.DataFrame({"q": q, "i": ids[near], "sim": row[near]}))
+        d = pd.concat(out) if out else pd.DataFrame({"q": [], "i": [], "sim": []})
+        return d[d["sim"] > -np.inf]
+
+    keys = ["blk", "x", "y"]
+    sims = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(meet, f"q {kinds[0]}, i {kinds[1]}, sim double")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "i")
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

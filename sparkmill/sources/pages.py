@@ -133,12 +133,13 @@ def toml_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV with a head line and a declared schema; a byte order mark is no part of the first name."""
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE")
+    """A CSV with a head line and a declared schema; a byte order mark is no part of the first name. Doubled quotes stand for one, line ends may stand in quotes, an empty field is null."""
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=True)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Documents of JSON files with a declared schema: one a file, or an array of them, or one a line. A broken file gives a row of nulls."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -157,8 +158,3 @@ def table_bytes(spark: SparkSession, folder: str) -> DataFrame:
     """name, bytes of every Parquet table of a folder, one file or many; only files' names and lengths are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
     return files.groupBy(F.regexp_extract("path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1).alias("name")).agg(F.sum("length").alias("bytes"))
-
-
-def file_sizes(df: DataFrame) -> DataFrame:
-    """file, bytes of the files a DataFrame is read from."""
-    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()

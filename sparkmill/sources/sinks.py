@@ -45,3 +45,13 @@ def backfill(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, Data
 def ledger_violations(ledger: DataFrame, rows: DataFrame, key: str, again: str) -> DataFrame:
     """Rows that touch a key of the ledger again without saying so."""
     return rows.where(~F.coalesce(F.col(again), F.lit(False))).join(ledger.select(key), key, "left_semi")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A folder of CSV files with a head line each; quotes are doubled, so that any text comes back; null is an empty field and "" a quoted one. Replaces what is there."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue='""', nullValue="")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A folder of files with a JSON document a line, null fields kept. Replaces what is there."""
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)

@@ -98,6 +98,26 @@ def test_vectors(spark):
     assert got == [(1, 2)]
 
 
+def test_blocks_of_vectors(spark, monkeypatch):
+    """Parts of any size give what all pairs give; repeated ids, ties and the query itself among the nearest."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(3)), [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(150)]
+    d = spark.createDataFrame(rows, "i int, b int, v array<float>")
+    want = {}
+    for q, b, v in rows:
+        sims = [(-round(float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))), 6) + 0.0, i) for i, c, w in rows if c == b and i != q and any(v) and any(w)]
+        want[q] = [i for _, i in sorted(sims)[:4]]
+    for size in (7, 2048):
+        monkeypatch.setattr(V, "BLOCK_ROWS", size)
+        got = {}
+        for r in V.block_top_k(d, d, "b", "i", "i", "v", 4).orderBy("q", "rank").collect():
+            got.setdefault(r["q"], []).append(r["i"])
+        assert got == {q: x for q, x in want.items() if x}
+    assert V.block_top_k(d.limit(0), d, "b", "i", "i", "v", 4).count() == 0
+
+
 def test_text(spark):
     d = spark.createDataFrame([("Pui și Rață",), (None,), ("",)], "t string")
     r = d.select(C.flavours(F.col("t")).alias("f"), C.fold(F.col("t")).alias("o"), C.blocking_key(F.col("t")).alias("b")).collect()
