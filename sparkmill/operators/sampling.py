@@ -38,3 +38,18 @@ def stratified(df: DataFrame, stratum: str, key: str, share: float, at_least: in
     ranked = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
     j = ranked.join(size.withColumnRenamed(stratum, "_s"), F.col(stratum).eqNullSafe(F.col("_s")))
     return j.where("_k <= _take").drop("_s", "_k", "_take")
+
+
+def sample_with_cases(df: DataFrame, key: str, stratum: str, cases: str, size: int, least: int, seed: int = 7) -> DataFrame:
+    """key of size rows: of every case (an array column) the first least rows, of each stratum its share of the places that are left, then whatever comes first until size is reached; all in an order that only the seed and the keys decide. Too many are cut off by that order. Keys are different; fewer rows than size are all taken."""
+    d = df.select(key, stratum, cases, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("_u"))
+    order = ["_u", key]
+    each = d.select(key, "_u", F.explode(cases).alias("_case"))
+    hard = each.withColumn("_k", F.row_number().over(Window.partitionBy("_case").orderBy(*order))).where(F.col("_k") <= least).select(key).distinct()
+    total, taken = d.count(), hard.count()
+    share = d.groupBy(stratum).agg(F.bround(F.lit(max(0, size - taken)) * F.count("*") / F.lit(max(1, total)), 0).alias("_share")).withColumnRenamed(stratum, "_s")
+    rest = d.join(hard, key, "left_anti").withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_k") <= size)
+    fill = rest.join(share, F.col(stratum).eqNullSafe(F.col("_s"))).where("_k <= _share").select(key)
+    chosen = hard.withColumn("_rank", F.lit(0)).unionByName(fill.withColumn("_rank", F.lit(0)))
+    ranked = d.join(chosen, key, "left").withColumn("_rank", F.coalesce("_rank", F.lit(1)))
+    return ranked.orderBy("_rank", *order).limit(size).select(key)

@@ -12,10 +12,11 @@ from sparkmill.functions import listings as L
 from sparkmill.functions.quantity import read_amount
 from sparkmill.operators import labels as B
 from sparkmill.operators import series as S
+from sparkmill.operators.sampling import sample_with_cases
 from sparkmill.plans import listings as P
 from sparkmill.plans import series as R
 from sparkmill.session import table as T
-from sparkmill.sources import sinks
+from sparkmill.sources import pages, sinks
 
 _AMOUNT = StructType([*[StructField(c, IntegerType()) for c in ("weight_g", "volume_ml", "units", "bonus_g")], StructField("error", StringType())])
 
@@ -171,9 +172,22 @@ def events_without_decoration(s, d):
     return p.where((F.size("kinds") > 0) & ~F.array_contains("kinds", "sub_threshold")).groupBy("source").agg(F.count("*").alias("events"))
 
 
+def category_walk(s, d):
+    """Handles that a walk of the shops' pages takes: a page without vendors failed, one of fewer than three entries is the last, eight pages a shop at most."""
+    c = T(s, d, "category_listings").where("source IS NOT NULL AND page_no IS NOT NULL AND handle IS NOT NULL").select("source", "page_no", "handle", "id", "vendor")
+    p = c.groupBy("source", "page_no").agg((F.count("vendor") == 0).alias("failed"), (F.count("*") >= 3).alias("more"))
+    return pages.category_walk(p, c, "source", "page_no", "failed", "more", "handle", "id", 8).select("source", "page_no", "handle", "id")
+
+
+def gate_sample(s, d):
+    """A hundred listings: two of every way of being hard to read, the rest by source."""
+    n = T(s, d, "norm_listings").where("sample_title IS NOT NULL AND id IS NOT NULL").select("id", "sample_source", L.hard_cases(L.folded(F.col("sample_title"))).alias("cases"))
+    return sample_with_cases(n, "id", "sample_source", "cases", 100, 2)
+
+
 QUERIES = {f.__name__: f for f in (
     extracted_attributes, title_flavours, title_stages, title_forms, parsed_replies, label_lookup, shape_examples, label_report, open_findings, count_parity, collection_status, price_position_percent, ledger_guard, seeded_series, cost_per_thousand, pair_prompts,
-    events_without_decoration,
+    events_without_decoration, category_walk, gate_sample,
 )}
 
 _NAMES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in A.FLAVOURS.items()) + "}"
@@ -181,6 +195,8 @@ _FORMS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in A.FORMS.items()) + "}"
 _COMPARED = """p as (select pair_id, split, tier, label, labeled_by, labeled_by in ('annotator_0', 'annotator_1') mine from phase3_labels where pair_id is not null), a as (select pair_id, min(split) s, min(tier) t, min(label) l from p where mine group by 1), b as (select pair_id, min(split) s, min(tier) t, min(label) l from p where not mine group by 1),
   f as (select coalesce(a.pair_id, b.pair_id) pair_id, case when a.pair_id is null then 'missing_left' when b.pair_id is null then 'missing_right' when a.s is distinct from b.s then 'split' when a.t is distinct from b.t then 'tier' when a.l is distinct from b.l then 'changed' else 'equal' end finding from a full join b on a.pair_id = b.pair_id)"""
 
+_HARD = P.SQL["hard_case_labels"].replace("array_to_string(list_sort(", "list_sort(").replace("lambda x: x is not null)), ',') cases", "lambda x: x is not null)) cases").replace("where sample_title is not null", "where sample_title is not null and id is not null")
+
 SQL = {
     "title_flavours": f"with a as (select id, list_transform(regexp_extract_all({P._fold('sample_title')}, '\\b({'|'.join(A.FLAVOURS)})\\b', 1), lambda w: {_NAMES}[w]) l from norm_listings) select id, nullif(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '+'), '') flavour from a",
     "title_stages": f"with a as (select id, nullif(regexp_extract({P._fold('sample_title')}, '{A.STAGES}', 1), '') w, coalesce(nullif(regexp_extract(sample_title, '\\((\\d{{1,2}})\\+\\)', 1), ''), nullif(regexp_extract(sample_title, '\\b(\\d{{1,2}})\\+(?:\\D|$)', 1), '')) g from norm_listings) select id, case when w like 'adult%' then 'adult' else w end || coalesce('+' || g, '') stage from a",
@@ -207,5 +223,11 @@ SQL = {
         f as (select o.source, o.external_id from o left join e using (source, external_id) where share >= 0.9 and coalesce(k, 0) = 0), x as (select d.source, d.external_id, d.d, d.price, case when f.source is null then d.c end c from daily d left join f on f.source = d.source and f.external_id = d.external_id),
         y as (select a.source, a.price, a.c, b.price p0, b.c c0 from x a join x b on a.source = b.source and a.external_id = b.external_id and b.d = a.d - 1 where a.price is not null and b.price is not null), z as (select *, coalesce(c > price, false) n, coalesce(c0 > p0, false) w, case when coalesce(c > price, false) then c else price end bn, case when coalesce(c0 > p0, false) then c0 else p0 end bw from y)
         select source, count(*) events from z where n <> w or (bw = 0 and bn <> 0) or (bw <> 0 and abs(bn - bw) * 100 >= bw * 2) or (n and w and ((p0 = 0 and price <> 0) or (p0 <> 0 and abs(price - p0) * 100 >= p0 * 2))) group by 1""",
+    "category_walk": """with c as (select source, page_no, handle, id, vendor from category_listings where source is not null and page_no is not null and handle is not null), p as (select source, page_no, count(vendor) = 0 f, count(*) >= 3 m from c group by 1, 2),
+        q as (select *, coalesce(sum(case when f or not m then 1 else 0 end) over (partition by source order by page_no rows between unbounded preceding and 1 preceding), 0) b, row_number() over (partition by source order by page_no) k from p),
+        r as (select c.*, row_number() over (partition by handle order by source, page_no, id) n from c join q using (source, page_no) where b = 0 and k <= 8 and not f) select source, page_no, handle, id from r where n = 1""",
+    "gate_sample": "with h as materialized (" + _HARD + """), d as (select h.id, n.sample_source s, h.cases, md5('7:' || h.id) u from h join norm_listings n on n.id = h.id), e as (select id, row_number() over (partition by c order by u, id) k from (select id, u, unnest(cases) c from d)), a as (select distinct id from e where k <= 2),
+        g as (select s, round_even((100 - (select count(*) from a)) * cast(count(*) as double) / (select count(*) from d), 0) n from d group by 1), f as (select d.id, d.s, row_number() over (partition by d.s order by u, d.id) k from d where d.id not in (select id from a)), c as (select id from a union select f.id from f join g on f.s is not distinct from g.s where k <= g.n)
+        select id from (select d.id, d.u, case when c.id is null then 1 else 0 end r from d left join c on c.id = d.id) order by r, u, id limit 100""",
     "pair_prompts": "with n as (select content_hash h, min(sample_title) t from norm_listings group by 1 having min(sample_title) is not null), p as (select distinct occurrence_id, left_content_hash x, right_content_hash y from phase3_labels where occurrence_id is not null) select occurrence_id, 'Are these two listings the same article? Answer Yes or No.' || chr(10) || 'A: ' || a.t || chr(10) || 'B: ' || b.t prompt from p join n a on a.h = x join n b on b.h = y",
 }

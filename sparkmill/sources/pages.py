@@ -96,6 +96,15 @@ def first_wins(rows: DataFrame, key: str, order: list[str], most: int | None = N
     return first.orderBy(*order).limit(most) if most is not None else first
 
 
+def category_walk(pages: DataFrame, rows: DataFrame, category: str, page: str, failed: str, more: str, key: str, position: str, most_pages: int, most: int | None = None) -> DataFrame:
+    """The rows that a walk of the categories in order takes: of each category the pages up to the first that failed, that has no further one, or that is the last allowed; of a failed page none; of every key the first in the whole run, and no more than most in all."""
+    w = Window.partitionBy(category).orderBy(page)
+    ends = (F.col(failed) | ~F.col(more)).cast("int")
+    d = pages.withColumn("_before", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.row_number().over(w))
+    read = d.where((F.col("_before") == 0) & (F.col("_n") <= most_pages) & ~F.col(failed)).select(category, page)
+    return first_wins(rows.join(read, [category, page], "left_semi"), key, [category, page, position], most)
+
+
 def pages_read(pages: DataFrame, category: str, order: str, rows: str, failed: str, page_size: int, failures: int) -> DataFrame:
     """The pages up to where the walk of each category stops: the first short page, or the last of so many failed ones in a row."""
     w = Window.partitionBy(category).orderBy(order)

@@ -46,3 +46,21 @@ def test_windows_equal_their_batch_twins(spark, tmp_path):
         got = sorted(map(tuple, twins.run_to_end(make(stream), spark, "append", name).where("k <> 'end'").collect()))
         want = sorted(map(tuple, make(batch).where(F.col("k") != "end").collect()))
         assert got == want and len(want) > 3, name
+
+
+def test_walk_stops(spark):
+    p = spark.createDataFrame([("a", 1, False, True), ("a", 2, False, False), ("a", 3, False, True), ("b", 1, True, True), ("b", 2, False, True), ("c", 1, False, True), ("c", 2, False, True), ("c", 3, False, True)], "c string, p int, failed boolean, more boolean")
+    r = spark.createDataFrame([(c, n, f"{c}{n}", 0) for c, n in [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("c", 1), ("c", 2), ("c", 3)]] + [("c", 1, "a1", 1), ("c", 1, None, 2)], "c string, p int, k string, at int")
+    walk = lambda most=None: [x["k"] for x in pages.category_walk(p, r, "c", "p", "failed", "more", "k", "at", 2, most).orderBy("c", "p", "at").collect()]
+    assert walk() == ["a1", "a2", "c1", None, "c2"] and walk(3) == ["a1", "a2", "c1"]
+    assert pages.category_walk(p.limit(0), r, "c", "p", "failed", "more", "k", "at", 2).count() == 0
+
+
+def test_sample_with_cases(spark):
+    from sparkmill.operators.sampling import sample_with_cases
+
+    d = spark.range(200).selectExpr("id", "CASE WHEN id < 150 THEN 's' WHEN id < 190 THEN 't' END AS s", "CASE WHEN id IN (3, 4, 5) THEN array('x') WHEN id = 7 THEN array('x', 'y') ELSE array() END AS c")
+    got = {r["id"] for r in sample_with_cases(d, "id", "s", "c", 40, 2).collect()}
+    assert len(got) == 40 and 7 in got and len(got & {3, 4, 5, 7}) >= 2 and sum(i < 150 for i in got) in range(28, 34) and any(i >= 190 for i in got)
+    assert got == {r["id"] for r in sample_with_cases(d.repartition(5), "id", "s", "c", 40, 2).collect()}
+    assert sample_with_cases(d, "id", "s", "c", 500, 2).count() == 200 and sample_with_cases(d.limit(0), "id", "s", "c", 5, 2).count() == 0
