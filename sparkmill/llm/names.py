@@ -16,6 +16,8 @@ from sparkmill.llm.brands import with_swaps
 
 #: Edits in a word, swaps counted once. Words up to SHORT letters meet by what is left without as many letters, longer ones by their pieces.
 WORD_EDITS, SHORT, PIECES = 2, 16, 5
+#: Words whose keys a worker holds at a time.
+KEYED_TOGETHER = 1_000
 
 
 @lru_cache(maxsize=4096)
@@ -64,7 +66,8 @@ def keyed_words(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            yield pd.DataFrame([(w, *word_keys(w)) for w in d["word"]], columns=["word", "kept", "sought"])
+            for at in range(0, len(d), KEYED_TOGETHER):  # a word has a hundred keys, so less than a batch at a time is held
+                yield pd.DataFrame([(w, *word_keys(w)) for w in d["word"][at : at + KEYED_TOGETHER]], columns=["word", "kept", "sought"])
 
     return words.select("word").mapInPandas(run, "word string, kept array<string>, sought array<string>")
 
