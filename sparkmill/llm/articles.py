@@ -138,10 +138,10 @@ def line_candidates(lines: DataFrame) -> DataFrame:
     leave one edit to the letters, so the lines share a letter set.
     """
     each = lines.select("line", "letters", F.explode("words").alias("word"))
-    counts = cut(each.groupBy("word").agg(F.count("*").alias("n")))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"))
     keyed = cut(keyed_words(counts))
     near = near_words(sought_keys(keyed), kept_keys(keyed))
-    rare = cut(rarest(each.select("line", "letters", "word").withColumn("line", F.struct("line", "letters")), counts, "line", 1))
+    rare = rarest(each.select("line", "letters", "word").withColumn("line", F.struct("line", "letters")), counts, "line", 1)
     probes = rare.select("line", "word").unionByName(rare.join(near, "word").select("line", F.col("other").alias("word")))
     probes = probes.select(F.col("line.line").alias("p"), F.col("line.letters").alias("pl"), "word")
     met = probes.join(each, "word").where((F.col("p") != F.col("line")) & (F.levenshtein("pl", "letters", 2 * EDITS) >= 0)).select(F.col("p").alias("x"), F.col("line").alias("y"))
@@ -199,7 +199,7 @@ def similar_brands(brands: DataFrame) -> DataFrame:
         for d in batches:
             yield pd.DataFrame([(x, *word_keys(x), word_keys(x.replace(" ", ""))[0], word_keys(x.replace(" ", ""))[1]) for x in d["brand"]], columns=["brand", "k1", "s1", "k2", "s2"])
 
-    keyed = cut(brands.select("brand").mapInPandas(run, "brand string, k1 array<string>, s1 array<string>, k2 array<string>, s2 array<string>"))
+    keyed = brands.select("brand").mapInPandas(run, "brand string, k1 array<string>, s1 array<string>, k2 array<string>, s2 array<string>")
     kept = keyed.select(F.col("brand").alias("q"), F.explode(F.array_union("k1", "k2")).alias("key"))
     sought = keyed.select(F.col("brand").alias("p"), F.explode(F.array_union("s1", "s2")).alias("key"))
     pairs = sought.join(kept, "key").where("p < q").select("p", "q").distinct().where(_brands_agree("p", "q"))
@@ -224,7 +224,7 @@ def line_clusters(rows: DataFrame) -> DataFrame:
     bare = near.where("p = ''").join(y.where("q = ''"), "b").where("na <> nb")
     links = full.select("na", "nb").unionByName(bare.select("na", "nb"))
     alone = names.select(F.xxhash64("name").alias("na"), F.xxhash64("name").alias("nb"))
-    comps = cut(connected_components(links.unionByName(alone), "na", "nb"))
+    comps = cut(connected_components(cut(links.unionByName(alone)), "na", "nb"))
     # a name without brand: its component goes to the branded component that supports its line best
     reach = near.where("p = ''").join(y.where("q <> ''"), "b").select(F.col("na").alias("node"), F.col("nb").alias("other"), "sb")
     support = reach.join(comps, "node").withColumnRenamed("component", "c0").join(comps.select(F.col("node").alias("other"), F.col("component").alias("c1")), "other")
