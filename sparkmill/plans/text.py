@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkmill.functions import columns as C
 from sparkmill.operators import similarity as V
 from sparkmill.operators.graph import connected_components
+from sparkmill.operators.lexical import rank_holders
 from sparkmill.session import table as T
 
 
@@ -87,17 +88,8 @@ def lexical_rank(s, d):
 
 def lexical_ranked(s, d):
     """For every product's title as a query, the titles of the dimension that hold all of its words, by the share of their words that are the query's; a pool of 200. A title without words has none."""
-    from pyspark.sql import Window
-
-    q = T(s, d, "products").select(F.col("id").alias("q"), C.tokens(F.col("title")).alias("ws")).where("size(ws) > 0").distinct()
-    n = T(s, d, "norm_listings").select(F.col("id").alias("i"), C.tokens(F.col("sample_title")).alias("t"))
-    inv = n.select("i", "t", F.explode("t").alias("w"))
-    df = inv.groupBy("w").agg(F.count("*").alias("df"))
-    # a title that holds all words holds the rarest; a word of no title ends the query
-    rarest = q.select("q", "ws", F.explode("ws").alias("w")).join(df, "w", "left").groupBy("q", "ws").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
-    hit = rarest.join(inv, "w").where(F.size(F.array_except("ws", "t")) == 0)
-    sc = hit.select("q", "i", F.round(F.size("ws") / F.size("t"), 6).alias("score"))
-    return sc.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i"))).where("pos <= 200")
+    q = T(s, d, "products").select(F.col("id").alias("q"), C.tokens(F.col("title")).alias("ws"))
+    return rank_holders(q, T(s, d, "norm_listings").select(F.col("id").alias("i"), C.tokens(F.col("sample_title")).alias("t")), 200)
 
 
 def block_topk_cosine(s, d):
